@@ -7,8 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media
-from .shared import documents
+from . import licenses, media, mixing, sharding, urls
+from .shared import documents, scratch
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.default_entries(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents read back from the compacted version of a sharded table."""
+    table = sharding.ShardedTable(spark, scratch(spark, "shards"))
+    table.append(documents(spark, sf_dir))
+    table.compact()
+    return table.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP3_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(spark, documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +38,21 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*first, "true_type", "corrected", F.size("embedded").cast("long").alias("n_embedded"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(documents(spark, sf_dir))
+    return out.withColumns({"licenses": F.array_join("licenses", ","), "best_dice": F.round("best_dice", 9)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op3_sharding": op3_sharding,
+    "op8_mixing": op8_mixing,
     "op9_media": op9_media,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
+    "op3_sharding": OP3_SQL,
+    "op10_licenses": licenses.SQL,
+}
