@@ -5,9 +5,9 @@ whole copies that every document gets and a fraction that only some get. The
 cube method picks those: the fractional inclusion probabilities move along the
 null space of two constraints, the source's words and its documents, until
 each is 0 or 1 but for two at most. Blocks of bounded size fly independently
-on all workers, each leaving its POOL smallest rows out; these and what else
-stays fractional fly once more per source, again without the POOL smallest;
-the dozen rows that remain land where the words come nearest to the target.
+on all workers, each leaving out a pool of rows of all sizes; these and what
+else stays fractional fly once more per source, again without a pool; the
+dozen rows that remain land where the words come nearest to the target.
 
 The random walk is a function of keys and sizes, so reruns agree.
 
@@ -100,10 +100,12 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _flown(final: bool):
     def fly(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "tie"], ascending=[False, True], kind="stable", ignore_index=True)
+        pool = np.unique(np.linspace(0, len(rows) - 1, min(POOL, len(rows))).astype(int))
+        rows = rows.iloc[np.r_[np.setdiff1d(np.arange(len(rows)), pool), pool]].reset_index(drop=True)
         size = rows["size"].to_numpy()
         # the walk is seeded with what it walks over, never with a partition's number
         rng = np.random.default_rng([SEED, len(rows), int(size.sum()), int(rows["rank"].iloc[0]), int(rows["block"].iloc[0])])
-        pi = flight(rows["pi"].to_numpy(), size, rng, POOL)
+        pi = flight(rows["pi"].to_numpy(), size, rng, len(pool))
         rows["pi"] = land(pi, size) if final else pi
         return rows
 
