@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, packing, sharding, urls
+from . import licenses, media, mixing, packing, sharding, toxicity, urls
 from .shared import documents, scratch
 
 
@@ -28,6 +28,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score_toxicity(docs, model)
+    held, hit = (toxicity.remainder("doc_id") == 1).alias("held_out"), (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", held, "score", hit, F.size("spans").cast("long").alias("n_spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +59,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
