@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN = 4000, 8000
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 THRESHOLD = 0.7
-SEGMENT, STEPS = 256, 60
+SEGMENT, SEGMENTS, STEPS = 256, 2500, 60
+BUCKETS = 1 << 22
 PIECE = 512
 MOST_CACHED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -119,40 +120,73 @@ def evidence(p: list[float], n: int) -> np.ndarray:
     return np.array([1.0, max(p, default=0.0), math.log1p(sum(p)), math.sqrt(sum(p) / max(1, n))])
 
 
-def _selected(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features that tell toxic documents: by likelihood ratio, and ten times as common there."""
-    seen: set[tuple] = set()
-    counts = (Counter(), Counter())
-    n = [0, 0]
-    for words, toxic in docs:
-        marks = {tuple(words[:8]), tuple(words[-8:])}
-        if seen & marks:  # copies would make their every word look toxic
-            continue
-        seen |= marks
-        n[toxic] += 1
-        counts[toxic].update({f for w in set(words) for f in _features(w)})
-    share = n[1] / max(1, sum(n))
-    out = set()
-    for f, a in counts[1].items():
-        b = counts[0][f]
-        if a >= 4 and a * n[0] >= 10 * b * n[1]:
-            gain = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0)
-            if gain >= 12:
-                out.add(f)
-    return out
-
-
-def _fit_field(docs: list[tuple[list[str], int]], names: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
+class _Sample:
+    """Training documents as arrays of word numbers, so that equal words are held once."""
+
+    def __init__(self, docs: list[tuple[str, int]]) -> None:
+        index: dict[str, int] = {}
+        self.docs = [(np.array([index.setdefault(w, len(index)) for w in WORD.findall((x or "").lower())], np.int32), int(t)) for x, t in docs]
+        self.words = list(index)
+
+    def texts(self) -> Iterator[tuple[list[str], int]]:
+        for ids, toxic in self.docs:
+            yield [self.words[i] for i in ids], toxic
+
+    def distinct(self) -> list[tuple[np.ndarray, int]]:
+        """Word sets of the documents without those that begin or end like one before: copies would make their every word look toxic."""
+        seen: set[bytes] = set()
+        out = []
+        for ids, toxic in self.docs:
+            marks = {ids[:8].tobytes(), b"|" + ids[-8:].tobytes()}
+            if not seen & marks:
+                seen |= marks
+                out.append((np.unique(ids), toxic))
+        return out
+
+
+def _telling(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Whether counts in toxic and clean documents differ: by likelihood ratio, and ten times as common in toxic ones."""
+    share = toxic / max(1, toxic + clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = a * np.log(a / (a + b) / share) + np.where(b > 0, b * np.log(b / (a + b) / (1 - share)), 0.0)
+    return (a >= 4) & (a * clean >= 10 * b * toxic) & (gain >= 12)
+
+
+def _selected(sample: _Sample) -> list[str]:
+    """Features that tell toxic documents: first by hashed counts, then by the exact ones of what is left."""
+    docs = sample.distinct()
+    n = [sum(t == y for _, t in docs) for y in (0, 1)]
+    buckets = [np.array([zlib.crc32(f.encode()) % BUCKETS for f in _features(w)], np.int32) for w in sample.words]
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for ids, toxic in docs:
+        if len(ids):
+            counts[toxic][np.unique(np.concatenate([buckets[i] for i in ids]))] += 1
+    # a collision adds to a bucket, so one test of the toxic counts alone loses nothing
+    likely = _telling(counts[1].astype(float), np.zeros(BUCKETS), n[1], n[0]) if n[1] else np.zeros(BUCKETS, bool)
+    names: dict[str, int] = {}
+    of = [[names.setdefault(f, len(names)) for f, h in zip(_features(w), hashes, strict=True) if likely[h]] for w, hashes in zip(sample.words, buckets, strict=True)]
+    exact = np.zeros((2, len(names)))
+    for ids, toxic in docs:
+        if own := sorted({f for i in ids for f in of[i]}):
+            exact[toxic, own] += 1
+    good = _telling(exact[1], exact[0], n[1], n[0]) if n[1] else np.zeros(0, bool)
+    return sorted(f for f, i in names.items() if good[i])
+
+
+def _fit_field(sample: _Sample, names: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions that make the training sequences likeliest, by Adam with a small penalty."""
     ids = {f: i for i, f in enumerate(names)}
-    cache: dict[str, list[int]] = {}
-    found = lambda w: cache.setdefault(w, [ids[f] for f in _features(w) if f in ids]) if w not in cache else cache[w]
+    of = [[ids[f] for f in _features(w) if f in ids] for w in sample.words]
     segments, plain = [], []
-    for words, toxic in docs:
-        for at in range(0, len(words), SEGMENT):
-            own = [found(w) for w in words[at : at + SEGMENT]]
+    for doc, toxic in sample.docs:
+        for at in range(0, len(doc), SEGMENT):
+            own = [of[i] for i in doc[at : at + SEGMENT]]
             (segments if any(own) else plain).append((own, toxic))
-    segments = segments[:6000] + plain[: max(200, len(segments) // 4)]
+            if len(plain) > SEGMENTS:
+                plain.pop()
+    # the bound leaves some of both labels
+    segments = [s for y in (1, 0) for s in [x for x in segments if x[1] == y][: SEGMENTS // 2]]
+    segments += plain[: max(200, len(segments) // 4)]
     rows, width = len(segments), SEGMENT
     y, real = np.zeros((rows, width), int), np.zeros((rows, width), bool)
     cell, feat = [], []
@@ -211,15 +245,15 @@ def _fit_score(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fit(docs: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model from (text, toxic) rows; rates: documents that a clean and a toxic row of the sample stand for."""
-    cut = [(WORD.findall((x or "").lower()), int(t)) for x, t in docs]
-    names = sorted(_selected(cut))
-    share = sum(rates[t] for _, t in cut if t) / max(1e-9, sum(rates[t] for _, t in cut))
+    sample = _Sample(docs)
+    share = sum(rates[t] for _, t in sample.docs if t) / max(1e-9, sum(rates[t] for _, t in sample.docs))
+    names = _selected(sample)
     if not names:
         return Model(score=np.array([math.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0]))
-    w, bias, steps = _fit_field(cut, names)
+    w, bias, steps = _fit_field(sample, names)
     model = Model(dict(zip(names, w.tolist(), strict=True)), bias, steps)
-    x = np.array([evidence([p for _, p in model.marginals(words)], len(words)) for words, _ in cut])
-    y = np.array([t for _, t in cut])
+    x = np.array([evidence([p for _, p in model.marginals(words)], len(words)) for words, _ in sample.texts()])
+    y = np.array([t for _, t in sample.docs])
     model.score = _fit_score(x, y, np.array(rates)[y])
     return model
 
