@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, packing, sharding, suffix_tree, toxicity, urls
+from . import fingerprints, licenses, media, mixing, packing, sharding, suffix_tree, toxicity, urls
 from .shared import documents, scratch
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(spark, documents(spark, sf_dir))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urls.url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.default_entries(spark))
     return out.select("page_id", "host", "path", "rule", "verdict", "listed")
@@ -61,6 +65,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_suffix_tree": op4_suffix_tree,
