@@ -150,8 +150,13 @@ def _next_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(raw.alias("key"), F.col(key).alias("id"), whole_text(text).alias("text"))
     blocks = f"array({', '.join(map(array, fine))})"
     rows = rows.selectExpr("*", f"{place} as block").selectExpr("*", f"{blocks} as blocks")
-    rows = rows.selectExpr("key", "id", "text", f"256 * block + size(filter(coalesce(get(blocks, block), cast(array() as array<bigint>)), b -> b < key)) as bucket", f"array_contains(coalesce(get(blocks, block), cast(array() as array<bigint>)), key) as edge")
-    rows = rows.selectExpr("key", "id", "text", f"{digests('text')} as a", "xxhash64(text) as tie", f"filter(array(named_struct('bucket', bucket, 'ghost', 0), if(edge, named_struct('bucket', bucket + 1, 'ghost', 1), null), if(key = {array([size['top'] if size['top'] is not None else 0])}[0], named_struct('bucket', 0, 'ghost', 2), null)), z -> z is not null) as at")
+    own = "coalesce(get(blocks, block), cast(array() as array<bigint>))"
+    rows = rows.selectExpr("key", "id", "text", "block", f"{own} as ends", f"size(filter({own}, b -> b < key)) as at")
+    # the bucket after a block's last key is the first of the next block, whose number a short block doesn't reach
+    follows = "if(at + 1 = size(ends), 256 * (block + 1), 256 * block + at + 1)"
+    rows = rows.selectExpr("key", "id", "text", "256 * block + at as bucket", "array_contains(ends, key) as edge", f"{follows} as follows")
+    ghosts = f"if(edge, named_struct('bucket', follows, 'ghost', 1), null), if(key = {array([size['top'] or 0])}[0], named_struct('bucket', 0, 'ghost', 2), null)"
+    rows = rows.selectExpr("key", "id", "text", f"{digests('text')} as a", "xxhash64(text) as tie", f"filter(array(named_struct('bucket', bucket, 'ghost', 0), {ghosts}), z -> z is not null) as at")
     rows = rows.selectExpr("key", "id", "text", "a", "tie", "inline(at)").repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), "tie")
     rows = rows.select("id", "text", "a", "ghost", F.lead("text").over(order).alias("following"), F.lead("a").over(order).alias("x"), (F.col("bucket").cast("long") * (1 << 32) + F.row_number().over(order)).alias("rid"))
