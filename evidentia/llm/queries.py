@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, media, mixing, packing, sharding, suffix_tree, toxicity, urls
+from . import fingerprints, jaccard_join, licenses, media, mixing, packing, sharding, suffix_tree, toxicity, urls
 from .shared import documents, scratch
 
 
@@ -44,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, "score", hit, F.size("spans").cast("long").alias("n_spans"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
