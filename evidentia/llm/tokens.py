@@ -1,20 +1,21 @@
 """Token ids of texts by a given tokenizer file, with a cache by pre-token.
 
-For texts in Latin script the pre-tokens can be cut with one pattern, and each
-pre-token's ids are cached; the tokenizer itself fills the cache. Any other
-text, and any with the marks of special tokens, goes to the tokenizer whole,
-so all ids are the tokenizer's.
+Pre-tokens never cross white space, so a text's ids are those of its words.
+In texts in Latin script one pattern cuts a word into pre-tokens, which the
+tokenizer's model takes byte by byte as its own rules would hand them over;
+the ids of pre-tokens and of words are cached.
+Any other text, and any with the marks of special tokens, goes to the
+tokenizer whole, so all ids are the tokenizer's.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
-MOST_CACHED = 600_000
+MOST_CACHED = 800_000
 
 #: Characters whose case, form and class the pattern below and the tokenizer's own rules see alike.
 _PLAIN = "\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧₠-₿"
@@ -31,9 +32,20 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_names() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+_NAMES = _byte_names()
+
+
 @lru_cache(2)
-def _cache(path: str) -> dict[str, bytes]:
-    return {}
+def _caches(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids by pre-token and by word."""
+    return {}, {}
 
 
 def _cuttable(path: str) -> bool:
@@ -48,31 +60,35 @@ def _rules(path: str) -> bool:
     with open(path, encoding="utf-8") as f:
         own = json.load(f)
     normal = [n.get("type") for n in (own.get("normalizer") or {}).get("normalizers", [])]
-    split = ((own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    cuts = ((own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])
     wanted = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    return normal == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": wanted} and not own.get("post_processor")
+    whole = [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+    return normal == ["NFC", "Replace", "Lowercase"] and whole and cuts[0].get("pattern") == {"Regex": wanted} and not own.get("post_processor")
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers."""
-    t, cache = _tokenizer(path), _cache(path)
-    packed = lambda ids: np.asarray(ids, "<u4").tobytes()
+    t, (pieces, words) = _tokenizer(path), _caches(path)
+    model = t.model
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
     out: list[bytes | None] = [None] * len(texts)
     cut: list[tuple[int, list[str]]] = []
     whole: list[int] = []
     for i, x in enumerate(texts):
         if _cuttable(path) and not _OTHER.search(x):
-            cut.append((i, _PIECE.findall(x.lower())))
+            cut.append((i, x.lower().split()))
         else:
             whole.append(i)
-    if len(cache) > MOST_CACHED:
-        cache.clear()
-    fresh = list({p for _, pieces in cut for p in pieces if p not in cache})
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at : at + 4096]
-        cache.update((p, packed(e.ids)) for p, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True))
-    for i, pieces in cut:
-        out[i] = b"".join([cache[p] for p in pieces])
+    for cache in (pieces, words):
+        if len(cache) > MOST_CACHED:
+            cache.clear()
+    fresh = {w: _PIECE.findall(w) for w in set().union(*(own for _, own in cut)).difference(words)}
+    for p in set().union(*fresh.values()).difference(pieces):
+        name = p if p.isascii() else "".join([_NAMES[b] for b in p.encode()])
+        pieces[p] = packed([k.id for k in model.tokenize(name)])
+    words.update((w, b"".join([pieces[p] for p in own])) for w, own in fresh.items())
+    for i, own in cut:
+        out[i] = b"".join(map(words.__getitem__, own))
     for i in whole:
         out[i] = packed(t.encode(texts[i], add_special_tokens=False).ids)
     return out  # type: ignore[return-value]
