@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import stored, whole_text
 
 PARAGRAPH = 100
 BASE = 4
@@ -174,8 +174,9 @@ def fingerprint_versions(spark: SparkSession, df: DataFrame, key: str = "doc_id"
     rows = _next_rows(df, key, text)
     half = "cast(length(text) div 2 as int)"
     rows = rows.selectExpr("rid", "id", "a", "x", "cast(length(text) as bigint) as n_chars", f"concat(substring(text, 1, length(text) - {half}), substring(following, 1, {half})) as edited")
-    rows = rows.selectExpr("rid", "id", "a", "x", "n_chars", "unhex(sha2(edited, 256)) as sha", f"{digests('edited')} as e").repartition("rid")
-    joined = rows.join(_peeled(rows), "rid", "left").na.fill(0, ["found0", "left0", "found1", "left1"])
+    rows = rows.selectExpr("rid", "id", "a", "x", "n_chars", "unhex(sha2(edited, 256)) as sha", f"{digests('edited')} as e")
+    rows, _ = stored(spark, rows, "versions")  # digests only; else the texts would be exchanged for both sides of the join
+    joined = rows.join(_peeled(rows.select("rid", "a", "e", "x").repartition("rid")), "rid", "left").na.fill(0, ["found0", "left0", "found1", "left1"])
     for i, o in enumerate(("e", "x")):
         total, prior = f"(size(a) + size({o}))", f"if(left{i} = 0, found{i}, null)"
         joined = joined.selectExpr("*", f"{prior} as try0")
