@@ -339,15 +339,17 @@ def robustness_campaign(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...]
 METRICS = ["exact_chain_accuracy", "exact_chain_precision", "exact_chain_f1", "mean_chain_member_coverage", "missed_join_rate", "false_join_rate", "join_precision", "join_recall", "ambiguous_group_count", "ambiguous_event_rate", "accepted_ambiguous_group_count", "detected_ambiguous_group_count", "ambiguity_detection_precision", "ambiguity_detection_recall", "source_conflict_detection_precision", "source_conflict_detection_recall", "abstention_rate", "deduplication_rate", "time_to_completeness_p50_ms", "time_to_completeness_p95_ms", "time_to_completeness_max_ms"]
 
 
-def campaign_trials(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None) -> DataFrame:
+def campaign_trials(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None, policies: tuple[str, ...] = tuple(reconstruct.POLICIES)) -> DataFrame:
+    """One row of metrics a seed, scenario and policy. Events and assignments are kept while they are scored."""
     by = ("seed", "scenario")
-    events = faults.campaign(synthetic.observations(spark, chains, services, seeds), specs)
+    events = faults.campaign(synthetic.observations(spark, chains, services, seeds), specs).persist()
     out = None
-    for name, policy in reconstruct.POLICIES.items():
-        part = score.evaluate(events, policy(events, by=by, start=reconstruct.cadence()), by).withColumn("algorithm", F.lit(name))
+    for name in policies:
+        groups = reconstruct.POLICIES[name](events, by=by, start=reconstruct.cadence()).persist()
+        part = score.evaluate(events, groups, by).withColumn("algorithm", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def campaign_summary(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None) -> DataFrame:
-    return score.summarize(campaign_trials(spark, seeds, chains, services, specs), ("scenario", "algorithm"), METRICS)
+def campaign_summary(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None, policies: tuple[str, ...] = tuple(reconstruct.POLICIES)) -> DataFrame:
+    return score.summarize(campaign_trials(spark, seeds, chains, services, specs, policies), ("scenario", "algorithm"), METRICS)
