@@ -11,13 +11,14 @@ SOURCE = ("tenant_id", "source_id")
 
 def _sequential(rows: pd.DataFrame) -> pd.DataFrame:
     """Decisions of one source's arrivals in order: only accepted events own their id and sequence."""
-    rows = rows.sort_values("arrival", kind="stable", ignore_index=True)
+    rows = rows.assign(new=rows["state"].isna()).sort_values(["new", "arrival", "fingerprint"], kind="stable", ignore_index=True).drop(columns="new")
     owner: dict = {}
     taken: set = set()
     out = []
     for event, seq, digest, state in rows[["event_id", "sequence", "fingerprint", "state"]].itertuples(index=False):
-        if state is not None:  # already in the ledger
-            owner[event], _ = (digest, state), taken.add(seq)
+        if pd.notna(state):  # already in the ledger
+            owner[event] = (digest, state)
+            taken.add(seq)
             out.append(None)
         elif event in owner and owner[event][0] == digest:
             out.append("pruned" if owner[event][1] == "pruned" else "duplicate")
@@ -93,10 +94,10 @@ def completeness(expected: DataFrame, stored: DataFrame, keys: list[str], member
 
     expected, stored: (keys.., member). Only distinct members are exchanged.
     """
-    e = expected.select(*keys, member).distinct().withColumn("e", F.lit(1))
-    s = stored.select(*keys, member).distinct().withColumn("s", F.lit(1))
+    e = expected.select(*keys, member).distinct().withColumn("__e", F.lit(1))
+    s = stored.select(*keys, member).distinct().withColumn("__s", F.lit(1))
     both = e.join(s, [*keys, member], "full")
-    out = both.groupBy(*keys).agg(F.count("e").alias("expected_count"), F.count("s").alias("stored_count"), F.expr("count_if(e = 1 and s is null)").alias("missing_count"))
+    out = both.groupBy(*keys).agg(F.count("__e").alias("expected_count"), F.count("__s").alias("stored_count"), F.expr("count_if(__e = 1 and __s is null)").alias("missing_count"))
     status = F.when(F.col("expected_count") == 0, "UNKNOWN").when(F.col("missing_count") > 0, "INCOMPLETE").otherwise("COMPLETE")
     return out.withColumn("status", status)
 
