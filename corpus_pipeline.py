@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import jaccard_join, mixing, packing, toxicity
-from evidentia.llm.shared import documents, stored
+from evidentia.llm.shared import documents, small_batches, stored
 
 #: Near duplicates: shingles of five words, four fifths in common.
 WORDS, NUM, DEN = 5, 80, 100
+#: Words whose ids a packing worker keeps: few, for workers of earlier stages still hold memory.
+CACHED = 200_000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on labelled ones, doesn't reject."""
+    small_batches(spark)
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
@@ -47,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences."""
-    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED)
 
 
 STAGES = [

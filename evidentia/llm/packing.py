@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .tokens import encode
+from .tokens import MOST_CACHED, encode
 
 CAPACITY, END = 4096, 2
 FULL_ENOUGH = 0.97
@@ -56,7 +56,7 @@ def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
-def _cut(tokenizer: str, capacity: int, with_ids: bool):
+def _cut(tokenizer: str, capacity: int, with_ids: bool, cached: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         ranks: Counter = Counter()
@@ -65,7 +65,7 @@ def _cut(tokenizer: str, capacity: int, with_ids: bool):
             for at in range(0, batch.num_rows, PIECE):
                 b = batch.slice(at, PIECE)
                 rows, of = [], []
-                for i, ids in enumerate(encode([x or "" for x in b.column(1).to_pylist()], tokenizer)):
+                for i, ids in enumerate(encode([x or "" for x in b.column(1).to_pylist()], tokenizer, cached)):
                     ids += end
                     start, total = 0, len(ids) // 4
                     for n in pieces(total, capacity):
@@ -106,10 +106,13 @@ def _left(capacity: int):
     return pack
 
 
-def pack(spark: SparkSession, df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row a piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids on demand."""
+def pack(spark: SparkSession, df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, cached: int = MOST_CACHED) -> DataFrame:
+    """One row a piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ids on demand.
+
+    cached: words whose ids a worker keeps, some 200 bytes each.
+    """
     kind = df.schema[key].dataType.simpleString()
-    made = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cut(tokenizer, capacity, with_ids), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, per int, part int, rank long, ids binary")
+    made = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_cut(tokenizer, capacity, with_ids, cached), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, per int, part int, rank long, ids binary")
     made, _ = stored(spark, made if with_ids else made.drop("ids"), "pieces")
     counts = made.groupBy("class", "per", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,10 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/evidentia/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it again, which cuts the lineage; also gives the path."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str, arrow_rows: int = 500) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it again, which cuts the lineage; also gives the path.
+
+    While it is written, Arrow batches hold few rows: texts and token sets are
+    long, and a batch has no bound in bytes.
+    """
+    path, before = scratch(spark, name), spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, min(int(before), arrow_rows) if int(before) > 0 else arrow_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,5 +57,12 @@ def whole_text(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on the session's Arrow batches hold few rows, for programs whose texts are long."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

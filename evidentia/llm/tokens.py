@@ -14,7 +14,9 @@ import os
 import re
 import struct
 from functools import lru_cache
+from itertools import islice
 
+#: Entries of a cache; a full one keeps its older half, for frequent words come early.
 MOST_CACHED = 800_000
 
 #: Characters whose case, form and class the pattern below and the tokenizer's own rules see alike.
@@ -66,7 +68,7 @@ def _rules(path: str) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and whole and cuts[0].get("pattern") == {"Regex": wanted} and not own.get("post_processor")
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, cached: int = MOST_CACHED) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers."""
     t, (pieces, words) = _tokenizer(path), _caches(path)
     model = t.model
@@ -80,8 +82,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         else:
             whole.append(i)
     for cache in (pieces, words):
-        if len(cache) > MOST_CACHED:
+        if len(cache) > cached:
+            old = dict(islice(cache.items(), cached // 2))
             cache.clear()
+            cache.update(old)
     fresh = {w: _PIECE.findall(w) for w in set().union(*(own for _, own in cut)).difference(words)}
     for p in set().union(*fresh.values()).difference(pieces):
         name = p if p.isascii() else "".join([_NAMES[b] for b in p.encode()])

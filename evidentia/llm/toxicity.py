@@ -41,7 +41,7 @@ THRESHOLD = 0.7
 SEGMENT, SEGMENTS, STEPS = 256, 2500, 60
 BUCKETS = 1 << 22
 PIECE = 512
-MOST_CACHED = 500_000
+MOST_CACHED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 AFFIXES = range(3, 9)
 
