@@ -69,8 +69,9 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, ke
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fixed = F.array(*[F.struct(F.lit(n["name"]).alias("name"), F.lit(list(n["grams"])).alias("grams")) for n in known])
     lines = F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")
-    # distinct bigrams never outnumber words, so short units fall out before their bigrams are made
-    long_enough = lambda w: F.size(w) >= F.lit(min(sizes) * low)
+    # distinct bigrams number at most the words, and at least the distinct words less one,
+    # so units of other sizes fall out before their bigrams are made
+    long_enough = lambda w: (F.size(w) >= F.lit(min(sizes) * low)) & (F.size(F.array_distinct(w)) - 1 <= F.lit(max(sizes) * high))
     units = F.filter(F.transform(F.concat(lines, F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))), _words), long_enough)
     rows = df.select(F.col(key).alias("key"), F.transform(units, bigrams).alias("units"))
     near = lambda a, b: (F.size(a) >= F.size(b) * low) & (F.size(a) <= F.size(b) * high)
