@@ -100,20 +100,19 @@ def test_episodes_never_move_their_anchor(spark):
     assert {r.event_id: r.episode for r in reconstruct.episodes(df, ["service"], 1500).collect()} == want
 
 
-def test_scores_against_pairs(spark):
-    specs = [s for s in faults.scenarios() if s["name"] in ("duplicate_source_conflict_5pct", "compound_adversarial")]
-    for s in specs:
-        events = faults.campaign(synthetic.observations(spark, 48, 4, (11,)), [s])
-        rows = {r.event_id: r for r in events.collect()}
-        for name, policy in reconstruct.POLICIES.items():
-            groups = {}
-            for r in policy(events, by=("seed", "scenario"), start=reconstruct.cadence()).collect():
-                groups.setdefault(r.group_id, []).append(rows[r.event_id])
-            predicted = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
-            pair = lambda a, b: tuple(sorted((a.canonical_event_id, b.canonical_event_id)))
-            correct = {pair(a, b) for g in groups.values() for a, b in combinations(g, 2) if a.truth_chain_id == b.truth_chain_id and a.canonical_event_id != b.canonical_event_id}
-            got = [r for r in campaign_trials(spark, (11,), 48, 4, [s]).where(F.col("algorithm") == name).collect()][0]
-            assert (got.predicted_join_pair_count, got.correct_join_count) == (predicted, len(correct))
+@pytest.mark.parametrize(("scenario", "name"), [("duplicate_source_conflict_5pct", "correlation_id_only_ablation"), ("compound_adversarial", "naive_temporal_window")])
+def test_scores_against_pairs(spark, scenario, name):
+    spec = next(s for s in faults.scenarios() if s["name"] == scenario)
+    events = faults.campaign(synthetic.observations(spark, 48, 4, (11,)), [spec]).persist()
+    rows = {r.event_id: r for r in events.collect()}
+    groups = {}
+    for r in reconstruct.POLICIES[name](events, by=("seed", "scenario"), start=reconstruct.cadence()).collect():
+        groups.setdefault(r.group_id, []).append(rows[r.event_id])
+    predicted = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+    pair = lambda a, b: tuple(sorted((a.canonical_event_id, b.canonical_event_id)))
+    correct = {pair(a, b) for g in groups.values() for a, b in combinations(g, 2) if a.truth_chain_id == b.truth_chain_id and a.canonical_event_id != b.canonical_event_id}
+    got = campaign_trials(spark, (11,), 48, 4, [spec], (name,)).first()
+    assert (got.predicted_join_pair_count, got.correct_join_count) == (predicted, len(correct))
 
 
 def test_inversions(spark, monkeypatch):
