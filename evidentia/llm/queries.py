@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_links(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
