@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..llm.shared import stored
 from ..operators import faults, observe, reconstruct, score
 from ..sources import synthetic
 from ..sources.views import JITTER_MS, OBS, REPLAYS, obs, replays
@@ -332,23 +333,22 @@ def fault_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def robustness_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians of all metrics of the strict policy over seeds, on generated chains, for some faults; campaign_summary() takes any."""
-    names = ("control", "missing_random_5pct", "compound_adversarial")
-    specs = [s for s in faults.scenarios() if s["name"] in names]
-    return campaign_summary(spark, synthetic.SEEDS[:3], 600, 24, specs, ("strict_service_plus_correlation",))
+    """Medians of all metrics over all seeds, for every scenario and policy, on generated chains."""
+    return campaign_summary(spark, synthetic.SEEDS, 600, 24)
 
 
 METRICS = ["exact_chain_accuracy", "exact_chain_precision", "exact_chain_f1", "mean_chain_member_coverage", "missed_join_rate", "false_join_rate", "join_precision", "join_recall", "ambiguous_group_count", "ambiguous_event_rate", "accepted_ambiguous_group_count", "detected_ambiguous_group_count", "ambiguity_detection_precision", "ambiguity_detection_recall", "source_conflict_detection_precision", "source_conflict_detection_recall", "abstention_rate", "deduplication_rate", "time_to_completeness_p50_ms", "time_to_completeness_p95_ms", "time_to_completeness_max_ms"]
 
 
 def campaign_trials(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None, policies: tuple[str, ...] = tuple(reconstruct.POLICIES)) -> DataFrame:
-    """One row of metrics a seed, scenario and policy. Events and assignments are kept while they are scored."""
+    """One row of metrics a seed, scenario and policy. Events, assignments and metrics are stored, so no plan holds more than one of these steps."""
     by = ("seed", "scenario")
-    events = faults.campaign(synthetic.observations(spark, chains, services, seeds), specs).persist()
+    base, _ = stored(spark, synthetic.observations(spark, chains, services, seeds), "campaign-base")
+    events, _ = stored(spark, faults.campaign(base, specs), "campaign-events")
     out = None
     for name in policies:
-        groups = reconstruct.POLICIES[name](events, by=by, start=reconstruct.cadence()).persist()
-        part = score.evaluate(events, groups, by).withColumn("algorithm", F.lit(name))
+        groups, _ = stored(spark, reconstruct.POLICIES[name](events, by=by, start=reconstruct.cadence()), "campaign-groups")
+        part, _ = stored(spark, score.evaluate(events, groups, by).withColumn("algorithm", F.lit(name)), "campaign-trials")
         out = part if out is None else out.unionByName(part)
     return out
 

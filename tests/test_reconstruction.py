@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from evidentia.functions.hashing import fraction, modulo, odd, seeded
 from evidentia.operators import faults, observe, reconstruct, score
+from evidentia.plans import reconstruction
 from evidentia.plans.reconstruction import campaign_summary, campaign_trials
 from evidentia.sources import synthetic
 from pyspark.sql import functions as F
@@ -123,3 +124,44 @@ def test_inversions(spark, monkeypatch):
     want = sum((a[2], a[1]) < (b[2], b[1]) and (a[3], a[1]) > (b[3], b[1]) for a in rows for b in rows)
     df = spark.createDataFrame(rows, "g string, event_id string, truth_source_ms long, arrival_ms long")
     assert score.arrival_inversions(df, ("g",), 3001).first().inversions == want
+
+
+#: Further published medians of thirty seeds, in per cent.
+ALSO_PUBLISHED = [
+    ("control", "exact_chain_accuracy", 100.00),
+    ("missing_random_5pct", "exact_chain_accuracy", 73.25),
+    ("missing_random_5pct", "missed_join_rate", 9.77),
+    ("missing_plane_policy", "abstention_rate", 16.67),
+    ("missing_plane_policy", "join_recall", 66.67),
+    ("collision_same_service_5pct", "exact_chain_accuracy", 90.00),
+    ("collision_cross_service_5pct", "exact_chain_accuracy", 100.00),
+    ("duplicate_exact_10pct", "deduplication_rate", 9.09),
+    ("clock_skew_random_10pct_5s", "exact_chain_accuracy", 53.00),
+    ("clock_skew_random_10pct_5s", "abstention_rate", 47.00),
+]
+
+
+@pytest.mark.parametrize(("scenario", "metric", "percent"), ALSO_PUBLISHED)
+def test_further_published_medians(medians, scenario, metric, percent):
+    assert round(100 * medians(scenario, "strict_service_plus_correlation")[metric], 2) == pytest.approx(percent, abs=0.0101)
+
+
+def test_published_strict_times(medians):
+    assert medians("control", "strict_service_plus_correlation")["time_to_completeness_p95_ms"] == 1275
+    assert medians("late_arrival_10pct_30s", "strict_service_plus_correlation")["time_to_completeness_p95_ms"] == 31_275
+
+
+REST = [(s, p) for s in ("duplicate_source_conflict_5pct", "compound_adversarial") for p in reconstruct.POLICIES if (s, p) not in (("duplicate_source_conflict_5pct", "correlation_id_only_ablation"), ("compound_adversarial", "naive_temporal_window"))]
+
+
+@pytest.mark.parametrize(("scenario", "name"), REST)
+def test_scores_against_pairs_of_the_rest(spark, scenario, name):
+    test_scores_against_pairs(spark, scenario, name)
+
+
+def test_the_registered_campaign_is_whole(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(reconstruction, "campaign_summary", lambda spark, seeds, chains, services, specs=None, policies=tuple(reconstruct.POLICIES): asked.append((seeds, chains, services, specs or faults.scenarios(), policies)))
+    reconstruction.robustness_campaign(spark, "")
+    assert asked == [(synthetic.SEEDS, 600, 24, faults.scenarios(), tuple(reconstruct.POLICIES))]
+    assert (len(synthetic.SEEDS), len(faults.scenarios()), len(reconstruct.POLICIES)) == (30, 25, 3)
