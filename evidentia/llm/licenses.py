@@ -14,6 +14,8 @@ columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,48 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, ke
     )
 
 
+def license_passages(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, licenses, best_license, best_dice): licences of notices anywhere in the text, over line ends and among other words.
+
+    Windows of each template's number of words are compared with it. A window
+    that matches shares one of the template's anchors, which are so many of its
+    bigrams that a window without them falls short; only windows around these
+    are looked at. Of matching windows that overlap the best counts, on ties the
+    smallest name. best_dice is 0 where no window matches.
+    """
+    given = F.array(*[F.struct(F.lit(name).alias("name"), _words(F.regexp_replace(normalised(F.lit(notice)), "\n", " ")).alias("words")) for name, notice in templates])
+    known = []
+    for n, w in df.sparkSession.range(1).select(given.alias("n")).first()["n"]:
+        grams = list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+        # a window's distinct bigrams number at most len(w) - 1, so this many are in common at least
+        least = math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9)
+        known.append((n, len(w) - 1, grams, sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - least + 1]))
+    fixed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(size).alias("size"), F.lit(g).alias("grams"), F.lit(x).alias("anchors")) for n, size, g, x in known])
+    words = _words(F.regexp_replace(normalised(F.coalesce(F.col(text), F.lit(""))), "\n", " "))
+    rows = df.select(F.col(key).alias("key"), words.alias("w"))
+    rows = rows.select("key", F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))).alias("grams"))
+    anchors = sorted({x for *_, own in known for x in own})
+    places = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda h: h["g"].isin(anchors))
+    rows = rows.withColumn("places", places).withColumn("known", fixed)
+
+    def starts(t):
+        ends = lambda h: (F.greatest(F.lit(0), h["i"] - t["size"] + 1), F.least(h["i"], F.size("grams") - t["size"]))
+        near = F.transform(F.filter("places", lambda h: F.array_contains(t["anchors"], h["g"])), lambda h: F.when(ends(h)[0] <= ends(h)[1], F.sequence(*ends(h))).otherwise(F.array().cast("array<int>")))
+        return F.array_distinct(F.flatten(near))
+
+    def window(t, at):
+        own = F.array_distinct(F.slice("grams", at + 1, t["size"]))
+        less = F.size(F.array_intersect(own, t["grams"])) * -2.0 / (F.size(own) + F.size(t["grams"]))
+        return F.struct(less.alias("less"), t["name"].alias("name"), at.alias("at"), t["size"].alias("size"))
+
+    found = F.flatten(F.transform("known", lambda t: F.filter(F.transform(starts(t), lambda at: window(t, at)), lambda m: m["less"] <= -threshold)))
+    rows = rows.select("key", found.alias("found"))
+    # a window of so many bigrams has one word more
+    better = lambda v, m: (v["at"] <= m["at"] + m["size"]) & (m["at"] <= v["at"] + v["size"]) & ((v["less"] < m["less"]) | ((v["less"] == m["less"]) & (v["name"] < m["name"])))
+    rows = rows.select("key", F.filter("found", lambda m: ~F.exists("found", lambda v: better(v, m))).alias("hits"), F.array_min("found").alias("top"))
+    return rows.select(F.col("key").alias(key), F.array_sort(F.array_distinct(F.transform("hits", lambda m: m["name"]))).alias("licenses"), F.col("top.name").alias("best_license"), F.coalesce(F.abs("top.less"), F.lit(0.0)).alias("best_dice"))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

@@ -68,6 +68,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"licenses": F.array_join("licenses", ","), "best_dice": F.round("best_dice", 9)})
 
 
+def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_passages(documents(spark, sf_dir))
+    return out.withColumns({"licenses": F.array_join("licenses", ","), "best_dice": F.round("best_dice", 9)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_url_filter": op2_url_filter,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_licenses": op10_licenses,
+    "op10_license_passages": op10_license_passages,
 }
 
 ORACLES: dict[str, str] = {
