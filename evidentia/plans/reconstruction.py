@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..llm.shared import stored
 from ..operators import faults, observe, reconstruct, score
 from ..sources import synthetic
+from ..sources.storage import stored
 from ..sources.views import JITTER_MS, OBS, REPLAYS, obs, replays
 
 DAY = 86_400_000
@@ -343,12 +343,12 @@ METRICS = ["exact_chain_accuracy", "exact_chain_precision", "exact_chain_f1", "m
 def campaign_trials(spark: SparkSession, seeds: tuple[int, ...], chains: int, services: int, specs: list[dict] | None = None, policies: tuple[str, ...] = tuple(reconstruct.POLICIES)) -> DataFrame:
     """One row of metrics a seed, scenario and policy. Events, assignments and metrics are stored, so no plan holds more than one of these steps."""
     by = ("seed", "scenario")
-    base, _ = stored(spark, synthetic.observations(spark, chains, services, seeds), "campaign-base")
-    events, _ = stored(spark, faults.campaign(base, specs), "campaign-events")
+    base = stored(synthetic.observations(spark, chains, services, seeds), "campaign-base")
+    events = stored(faults.campaign(base, specs), "campaign-events")
     out = None
     for name in policies:
-        groups, _ = stored(spark, reconstruct.POLICIES[name](events, by=by, start=reconstruct.cadence()), "campaign-groups")
-        part, _ = stored(spark, score.evaluate(events, groups, by).withColumn("algorithm", F.lit(name)), "campaign-trials")
+        groups = stored(reconstruct.POLICIES[name](events, by=by, start=reconstruct.cadence()), "campaign-groups")
+        part = stored(score.evaluate(events, groups, by).withColumn("algorithm", F.lit(name)), "campaign-trials")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.verify import inventory
 from .readers import ContractError
 
 
@@ -30,8 +31,9 @@ class AppendOnly:
             again = again.unionByName(counts.join(self.read().select(*k), k, "left_semi"))
         if bad := again.limit(1).collect():
             raise ContractError(f"key is there already: {bad[0].asDict()}")
-        df.write.mode("append").parquet(self.path)
-        return df.count()
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(self.path)
+        return seen.get["n"]
 
     def overwrite(self, df: DataFrame) -> None:
         raise ContractError("rows of this table are never replaced")
@@ -58,8 +60,6 @@ def csv(df: DataFrame, path: str) -> None:
 
 
 def checksums(spark: SparkSession, folder: str, path: str) -> None:
-    """A manifest of a folder's files: digest, two blanks, name; by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + folder.rstrip("/") + "/", "")
-    rows = files.select(name.alias("name"), F.sha2("content", 256).alias("digest"))
-    rows.orderBy("name").select(F.concat_ws("  ", "digest", "name").alias("value")).coalesce(1).write.text(path)
+    """A manifest of a folder's files: digest, two blanks, path below the folder; by path."""
+    rows = inventory(spark, folder).orderBy("path")
+    rows.select(F.concat_ws("  ", "digest", "path").alias("value")).coalesce(1).write.text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fraction, seeded
@@ -42,7 +42,7 @@ def observations(spark: SparkSession, chains: int = 600, services: int = 24, see
 
 #: Columns of the six source tables by role.
 ROLES = {
-    "deployment": ("event_time", "principal", "service", "pipeline", "change_type", "status", "record_uri", "correlation", "release_integrity"),
+    "deployment": ("event_time", "principal", "app", "pipeline", "change_type", "status", "record_uri", "correlation", "release_integrity"),
     "identity": ("ts", "subject", "resource_service", "entitlement", "operation", "decision", "log_ref", "request_id", "least_privilege"),
     "policy": ("observed_at", "caller", "workload", "rule_id", "verb", "result", "evidence_url", "trace_key", "policy_conformance"),
     "telemetry": ("alert_time", "reporter", "target", "objective", "signal", "state", "query_ref", "incident_key", "service_availability"),
@@ -52,24 +52,42 @@ ROLES = {
 ROLE_NAMES = ("source_ts", "actor", "service", "policy", "action", "outcome", "source_pointer", "correlation_id")
 
 
+#: What each plane's generated records say: actor (name, how many), policy (name, how many or none),
+#: action, outcome when rare and otherwise, whether the rare case is a failure or a denial, and the record's locator.
+SAID = {
+    "deployment": ("pipeline-bot", 7, "release", 12, "rollout", "failed", "succeeded", "failure", "ci://runs"),
+    "identity": ("operator", 17, "role", 9, "role_binding_review", "denied", "allowed", "denial", "iam://events"),
+    "policy": ("admission", 3, "policy", 15, "evaluate", "deny", "pass", "denial", "policy://decisions"),
+    "telemetry": ("monitor", 5, "availability-99.9", None, "health_transition", "degraded", "healthy", "failure", "otel://queries"),
+    "incident": ("oncall", 11, "restore_service", None, "open_or_update", "investigating", "closed-no-impact", "failure", "ticket://incidents"),
+    "recovery": ("recovery-bot", 4, "rto-60m", None, "verify_or_rollback", "rolled-back", "verified", "failure", "backup://checks"),
+}
+
+
 def planes(spark: SparkSession, n: int, services: int, seed: int) -> DataFrame:
-    """n events of the six planes, still in one frame with the roles' own names."""
-    chain, plane = F.floor(F.col("id") / 6), F.col("id") % 6
-    service = (chain * 161 + seed) % services
-    failed, denied = (chain + seed) % 23 == 0, (chain + seed) % 31 == 0
+    """n events of the six planes, six to a chain, still in one frame with the roles' own names."""
+    chain, plane = F.expr("id div 6"), (F.col("id") % 6).cast("int")
+    rare = {"failure": (chain + seed) % 23 == 0, "denial": (chain + seed) % 31 == 0}
     ms = F.lit(1_767_225_600_000) + F.col("id") * 250
     at = F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+    def by_plane(value) -> Column:
+        return F.element_at(F.array(*[value(SAID[p]) for p in PLANES]), plane + 1)
+
+    def among(name: str, many: int | None) -> Column:
+        return F.lit(name) if many is None else F.concat(F.lit(f"{name}-"), (chain % many).cast("string"))
+
     return spark.range(n).select(
-        F.element_at(F.array(*map(F.lit, PLANES)), plane.cast("int") + 1).alias("source_type"),
+        F.element_at(F.array(*map(F.lit, PLANES)), plane + 1).alias("source_type"),
         (F.col("id") + 1).alias("source_id"),
         at.alias("source_ts"),
-        F.format_string("actor-%03d", chain % 97).alias("actor"),
-        F.format_string("svc-%04d", service).alias("service"),
-        F.format_string("rule-%02d", chain % 13).alias("policy"),
-        F.element_at(F.array(*map(F.lit, ("rollout", "access", "admit", "alert", "triage", "restore"))), plane.cast("int") + 1).alias("action"),
-        F.when(failed, "failure").when(denied, "denied").otherwise("success").alias("outcome"),
-        F.format_string("urn:record:%d", F.col("id")).alias("source_pointer"),
-        F.format_string("corr-%08d", chain).alias("correlation_id"),
+        by_plane(lambda s: among(s[0], s[1])).alias("actor"),
+        F.format_string("svc-%04d", (chain * 161 + seed) % services).alias("service"),
+        by_plane(lambda s: among(s[2], s[3])).alias("policy"),
+        by_plane(lambda s: F.lit(s[4])).alias("action"),
+        by_plane(lambda s: F.when(rare[s[7]], s[5]).otherwise(s[6])).alias("outcome"),
+        F.concat(by_plane(lambda s: F.lit(f"{s[8]}/")), (F.col("id") + 1).cast("string")).alias("source_pointer"),
+        F.concat(F.lit(f"corr-{seed:04d}-"), F.lpad(chain.cast("string"), 8, "0")).alias("correlation_id"),
     )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.synthetic import PLANES
@@ -24,10 +25,17 @@ def deduplicated(stream: DataFrame, time: str | None = None, within: str | None
     return stream.dropDuplicates(keys)
 
 
-def completions(stream: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFrame:
-    """(service, correlation_id, first_ms, done_ms) once all planes of a chain have been seen, in any order."""
+def completions(stream: DataFrame, planes: tuple[str, ...] = PLANES, keep_ms: int | None = None) -> DataFrame:
+    """(service, correlation_id, first_ms, done_ms) once all planes of a chain have been seen, in any order.
+
+    keep_ms: a chain's state goes when no event of it came for so long; by
+    default it stays, so that a repeated event never completes a chain again.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, first, last, done = state.get if state.exists else ("", 2**62, 0, False)
         names = set(filter(None, seen.split("|")))
         for p in parts:
@@ -35,37 +43,57 @@ def completions(stream: DataFrame, planes: tuple[str, ...] = PLANES) -> DataFram
             first, last = min(first, int(p["source_ms"].min())), max(last, int(p["arrival_ms"].max()))
         now = set(planes) <= names
         state.update(("|".join(sorted(names)), first, last, done or now))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         if now and not done:
             yield pd.DataFrame([(*key, first, last)], columns=["service", "correlation_id", "first_ms", "done_ms"])
 
     rows = stream.where(F.col("correlation_id").isNotNull()).groupBy("service", "correlation_id")
-    return rows.applyInPandasWithState(step, "service string, correlation_id string, first_ms long, done_ms long", "seen string, first long, last long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return rows.applyInPandasWithState(step, "service string, correlation_id string, first_ms long, done_ms long", "seen string, first long, last long, done boolean", "append", timeout)
 
 
-def decisions(stream: DataFrame) -> DataFrame:
-    """(tenant_id, source_id, event_id, sequence, decision) of arrivals: state per event id and, through the sequence's own key, its owner.
+DECISION = "tenant_id string, source_id string, event_id string, sequence long, fingerprint string, arrival string, decision string"
 
-    One key's state is one row, so a busy source spreads over all workers;
-    sequence conflicts are told per (source, sequence), id conflicts per
-    (source, event), and quarantine consumers take either.
-    """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = state.get[0] if state.exists else None
-        out = []
-        for p in parts:
-            for r in p.sort_values("arrival").itertuples(index=False):
-                if own is None:
-                    own, decision = r.fingerprint, "queued"
+class _Owners(StatefulProcessor):
+    """Who owns the ids and the sequences of one source, each an entry of its own in the state store."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ids = handle.getMapState("ids", "event_id string", "fingerprint string", self.keep_ms)
+        self.sequences = handle.getMapState("sequences", "sequence long", "event_id string", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for p in rows:
+            out = []
+            for r in p.sort_values(["arrival", "fingerprint", "event_id", "sequence"]).itertuples(index=False):
+                event, seq = (r.event_id,), (int(r.sequence),)
+                if self.ids.containsKey(event):
+                    decision = "duplicate" if self.ids.getValue(event)[0] == r.fingerprint else "event_id_conflict"
+                elif self.sequences.containsKey(seq):
+                    decision = "sequence_conflict"
                 else:
-                    decision = "duplicate" if r.fingerprint == own else "event_id_conflict"
-                out.append((*key, int(r.sequence), decision))
-        if own is not None:
-            state.update((own,))
-        yield pd.DataFrame(out, columns=["tenant_id", "source_id", "event_id", "sequence", "decision"])
-
-    rows = stream.groupBy("tenant_id", "source_id", "event_id")
-    return rows.applyInPandasWithState(step, "tenant_id string, source_id string, event_id string, sequence long, decision string", "own string", "append", GroupStateTimeout.NoTimeout)
+                    self.ids.updateValue(event, (r.fingerprint,))
+                    self.sequences.updateValue(seq, event)
+                    decision = "queued"
+                out.append((*key, r.event_id, *seq, r.fingerprint, r.arrival, decision))
+            yield pd.DataFrame(out, columns=["tenant_id", "source_id", "event_id", "sequence", "fingerprint", "arrival", "decision"])
+
+    def close(self) -> None:
+        pass
+
+
+def decisions(stream: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Arrivals with their decision: queued, duplicate, event_id_conflict or sequence_conflict, in order of arrival within a source.
+
+    The session's state store must be RocksDB. State holds one entry an id and
+    one a sequence; with keep_ms an entry expires so long after it was written.
+    """
+    rows = stream.select("tenant_id", "source_id", "event_id", "sequence", "fingerprint", "arrival").groupBy("tenant_id", "source_id")
+    return rows.transformWithStateInPandas(_Owners(keep_ms), DECISION, "append", "ProcessingTime" if keep_ms else "None")
 
 
 def windowed(stream: DataFrame, time: str, late: str, width: str, slide: str | None = None) -> DataFrame:

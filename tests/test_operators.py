@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from evidentia.operators import crossplane, ledger, links, normalize, privacy, verify
+from evidentia.operators import crossplane, faults, ledger, links, normalize, privacy, verify
 from evidentia.sources import readers, sinks, synthetic
 from evidentia.streaming import live
 from pyspark.sql import functions as F
@@ -147,3 +147,91 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == obs.count()
+
+
+def test_streamed_decisions_equal_the_batch(spark, tmp_path):
+    rows = [("t", "s", "a", 1, "x", "1"), ("t", "s", "a", 1, "x", "2"), ("t", "s", "a", 1, "y", "3"), ("t", "s", "b", 1, "z", "4"), ("t", "s", "b", 2, "z", "5"), ("t", "s", "c", 2, "z", "6"), ("t", "r", "a", 1, "x", "7")]
+    df = spark.createDataFrame(rows, ARRIVAL)
+    for i in range(3):
+        df.where(F.ceil(F.col("arrival").cast("int") / 3) == i + 1).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        q = live.decisions(stream).writeStream.format("memory").queryName("decided").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = {r.arrival: r.decision for r in spark.table("decided").collect()}
+    assert got == {r.arrival: r.decision for r in ledger.decide(df).collect()}
+    assert set(got.values()) == {"queued", "duplicate", "event_id_conflict", "sequence_conflict"}
+
+
+def test_a_refused_event_owns_nothing(spark):
+    rows = [("t", "s", "a", 1, "x", "1"), ("t", "s", "b", 2, "y", "2"), ("t", "s", "b", 2, "y", "3"), ("t", "s", "c", 2, "z", "4"), ("t", "s", "a", 1, "x", "5"), ("t", "s", "a", 1, "w", "6"), ("t", "s", "d", 1, "v", "7")]
+    df = spark.createDataFrame(rows, ARRIVAL)
+    got = [r.decision for r in ledger.decide(df, max_pending=1).orderBy("arrival").collect()]
+    assert got == ["queued", "queue_full", "queue_full", "queue_full", "duplicate", "event_id_conflict", "sequence_conflict"]
+    assert {r.decision for r in ledger.decide(df, max_pending=0).collect()} == {"queue_full"}
+    assert ledger.decide(df, max_pending=99).where("decision = 'queue_full'").isEmpty()
+
+
+def test_drain_moves_state_all_or_nothing(spark):
+    rows = [("t", "s", f"e{i}", "pending" if i else "stored", f"0{i}", i != 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "tenant_id string, source_id string, event_id string, state string, ingested_at string, whole boolean")
+    got = {r.event_id: r.state for r in ledger.drained(df, 2).collect()}
+    assert [e for e in sorted(got) if got[e] == "stored"] == ["e0", "e1", "e2"]
+    assert ledger.drained(df, 2, intact=F.col("whole")).where("state = 'stored'").count() == 3
+    with pytest.raises(readers.ContractError):
+        ledger.drained(df, 3, intact=F.col("whole"))
+    assert ledger.drained(df).where("state = 'pending'").count() == 0
+
+
+def test_digest_is_that_of_ascii_json(spark):
+    import hashlib
+
+    texts = ["plain", 'q"b\\s', "é\n", "\t\r\b\f\x00\x1f\x7f", "\U0001f600 ñ", ""]
+    df = spark.createDataFrame([(7, t) for t in texts], "n long, t string")
+    got = [r.h for r in df.select(normalize.content_hash(("t", False), ("n", True)).alias("h")).collect()]
+    assert got == [hashlib.sha256(json.dumps([t, 7], separators=(",", ":"), ensure_ascii=True).encode()).hexdigest() for t in texts]
+
+
+def test_inventory_keeps_paths(spark, tmp_path):
+    for name in ("a/x", "b/x", "b/c d+e%41"):
+        (tmp_path / "root (1)" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root (1)" / name).write_text(name)
+    assert sorted(r.path for r in verify.inventory(spark, str(tmp_path / "root (1)")).collect()) == ["a/x", "b/c d+e%41", "b/x"]
+    sinks.checksums(spark, str(tmp_path / "root (1)"), str(tmp_path / "sums"))
+    assert sorted(r.path for r in readers.manifest(spark, str(tmp_path / "sums")).collect()) == ["a/x", "b/c d+e%41", "b/x"]
+
+
+def test_numbering_over_ranges(spark):
+    from evidentia.sources import storage
+
+    df = spark.createDataFrame([(i % 3 == 0, f"k{(i * 37) % 500:03d}") for i in range(500)], "hot boolean, k string")
+    want = {}
+    for hot in (True, False):
+        want |= {k: i for i, k in enumerate(sorted(r.k for r in df.collect() if r.hot == hot))}
+    assert {r.k: r.place for r in storage.numbered(df, ["hot"], ["k"], "place").collect()} == want
+    assert [storage.nth(df, ["k"], n).k if storage.nth(df, ["k"], n) else None for n in (1, 250, 500, 501)] == ["k000", "k249", "k499", None]
+
+
+def test_pairs_across_services(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    chains = [(f"c{i:03d}", rng.choice("aaabc")) for i in range(60)]
+    rows = [(9, f"e{c}", "p", f"s{c}", s, i, c, f"id-{c}") for i, (c, s) in enumerate(chains)]
+    df = spark.createDataFrame(rows, "seed long, event_id string, source_type string, source_id string, service string, source_ms long, truth_chain_id string, correlation_id string")
+    free = sorted(chains, key=lambda c: (hashlib.sha256(f"9\x1fx\x1f{c[0]}".encode()).hexdigest(), c[0]))
+    want = set()
+    while free:
+        donor = free[0]
+        other = [c for c in free if c[1] != donor[1]]
+        if not other:
+            break
+        want.add((donor[0], other[0][0]))
+        free = [c for c in free if c not in (donor, other[0])]
+    assert {(r.donor, r.victim) for r in faults._pairs_cross(df, "x").collect()} == want
