@@ -9,13 +9,14 @@ cell that holds exactly one, removes it from its other cells, and repeats:
 what it recovers are the digests in which the texts differ. The likeness is
 the share of paragraphs that both have: (|A| + |B| - recovered) / (|A| + |B|).
 
-Sketches are sized by both paragraph counts, and peeled by aggregations whose
-grouping all lies below the row's id, so cells and digests are exchanged once
-with their row and never again. Pairs that do not peel within ROUNDS are tried
-again with sketches twice as large, and twice again, in their own rows.
-
 The fingerprint is the paragraph count and a sketch of BASE cells a subtable,
-so equal texts have equal fingerprints.
+so equal texts have equal fingerprints. The two fingerprints of a pair are
+subtracted and peeled first. Where they differ in more than such a sketch can
+tell, larger ones are made of the same digests: sized by both paragraph counts
+and peeled by aggregations whose grouping all lies below the row's id, so
+cells and digests are exchanged once with their row and never again. Pairs
+that do not peel within ROUNDS are tried again with sketches twice as large,
+and twice again, in their own rows.
 
 Defined results: a null text counts as empty; an empty text has no paragraphs,
 and two of them have likeness 1; null keys come last in the order; rows with
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import stored, whole_text
 
 PARAGRAPH = 100
-BASE = 4
+BASE, BASE_ROUNDS = 4, 12
 ROUNDS = 6
 RETRIES, RETRY_ROUNDS = 3, 40
 BUCKET_ROWS, BUCKETS_MOST = 500, 1 << 16
@@ -76,21 +77,37 @@ def _merged(entries: str) -> str:
     return f"aggregate(sort_array({entries}), named_struct('done', cast(array() as array<struct<c:bigint,n:bigint,k:bigint,h:bigint>>), 'cur', {zero}), (a, x) -> {step}, a -> {pushed})"
 
 
-def difference(a: str, b: str, s: str, rounds: int = RETRY_ROUNDS) -> str:
-    """SQL: (cells, found) of two digest arrays after peeling; peeled to the end if no cell is left."""
-    start = _merged(f"concat({_entries(a, s, 1)}, {_entries(b, s, -1)})")
+def peeled(start: str, s: str, rounds: int) -> str:
+    """SQL: (cells, found) of subtracted cells after peeling; peeled to the end if no cell is left."""
     pure = f"array_distinct(transform(filter(t.cells, z -> abs(z.n) = 1 and {_check('z.k')} = z.h), z -> named_struct('n', z.n, 'k', z.k)))"
     gone = ", ".join(f"named_struct('c', {c}, 'n', -q.n, 'k', q.k, 'h', {_check('q.k')})" for c in _cells("q.k", s))
-    peeled = _merged(f"concat(u.cells, flatten(transform(u.pure, q -> array({gone}))))")
-    once = f"transform(array(named_struct('cells', t.cells, 'found', t.found, 'pure', {pure})), u -> if(size(u.pure) = 0, named_struct('cells', u.cells, 'found', u.found), named_struct('cells', {peeled}, 'found', concat(u.found, transform(u.pure, q -> q.k)))))[0]"
+    left = _merged(f"concat(u.cells, flatten(transform(u.pure, q -> array({gone}))))")
+    once = f"transform(array(named_struct('cells', t.cells, 'found', t.found, 'pure', {pure})), u -> if(size(u.pure) = 0, named_struct('cells', u.cells, 'found', u.found), named_struct('cells', {left}, 'found', concat(u.found, transform(u.pure, q -> q.k)))))[0]"
     return f"aggregate(sequence(1, {rounds}), named_struct('cells', {start}, 'found', cast(array() as array<bigint>)), (t, i) -> if(size(t.cells) = 0, t, {once}))"
 
 
-def sketch(keys: str, s: int = BASE) -> str:
-    """SQL: a digest array's count and sketch as text: for each cell 4 digits of the count and 16 each of the xors."""
-    cell = lambda j: f"aggregate(filter({keys}, k -> {_cells('k', str(s))[j]} = {j * s} + c), named_struct('n', 0L, 'k', 0L, 'h', 0L), (a, k) -> named_struct('n', a.n + 1, 'k', a.k ^ k, 'h', a.h ^ {_check('k')}))"
-    text = lambda j: f"array_join(transform(transform(sequence(0, {s - 1}), c -> {cell(j)}), z -> concat(lpad(hex(z.n), 4, '0'), lpad(hex(z.k), 16, '0'), lpad(hex(z.h), 16, '0'))), '')"
-    return f"lower(concat(hex(size({keys})), ':', {', '.join(text(j) for j in range(3))}))"
+def difference(a: str, b: str, s: str, rounds: int = RETRY_ROUNDS) -> str:
+    """SQL: peeled() of the sketches of two digest arrays, subtracted."""
+    return peeled(_merged(f"concat({_entries(a, s, 1)}, {_entries(b, s, -1)})"), s, rounds)
+
+
+def base_cells(keys: str, s: int = BASE) -> str:
+    """SQL: all cells of a digest array's sketch of s cells a subtable."""
+    cell = lambda j: f"aggregate(filter({keys}, k -> {_cells('k', f'{s}L')[j]} = {j * s} + c), named_struct('n', 0L, 'k', 0L, 'h', 0L), (a, k) -> named_struct('n', a.n + 1, 'k', a.k ^ k, 'h', a.h ^ {_check('k')}))"
+    table = lambda j: f"transform(transform(sequence(0, {s - 1}), c -> named_struct('c', {j * s}L + c, 'z', {cell(j)})), y -> named_struct('c', y.c, 'n', y.z.n, 'k', y.z.k, 'h', y.z.h))"
+    return f"concat({', '.join(table(j) for j in range(3))})"
+
+
+def rendered(keys: str, cells: str) -> str:
+    """SQL: a digest array's number and its sketch as text: for each cell 4 digits of the count and 16 each of the xors."""
+    text = f"array_join(transform({cells}, z -> concat(lpad(hex(z.n), 4, '0'), lpad(hex(z.k), 16, '0'), lpad(hex(z.h), 16, '0'))), '')"
+    return f"lower(concat(hex(size({keys})), ':', {text}))"
+
+
+def subtracted(a: str, b: str) -> str:
+    """SQL: the cells of two equally large sketches in which they differ."""
+    both = f"zip_with({a}, {b}, (p, q) -> named_struct('c', p.c, 'n', p.n - q.n, 'k', p.k ^ q.k, 'h', p.h ^ q.h))"
+    return f"filter({both}, z -> z.n <> 0 or z.k <> 0 or z.h <> 0)"
 
 
 # --- all pairs of a table -----------------------------------------------------------------------------
@@ -107,7 +124,7 @@ def _peeled(rows: DataFrame) -> DataFrame:
     A cell's id holds its pair, its sketch's size and its number; all groupings
     have rid first, by which the rows are dealt already.
     """
-    pairs = rows.selectExpr("rid", "a", "inline(array(named_struct('kind', 0L, 'o', e), named_struct('kind', 1L, 'o', x)))")
+    pairs = rows.selectExpr("rid", "a", "inline(filter(array(named_struct('kind', 0L, 'o', if(base0 is null, e, null)), named_struct('kind', 1L, 'o', if(base1 is null, x, null))), z -> z.o is not null))")
     pairs = pairs.selectExpr("rid", f"{_size('(size(a) + size(o))')} as lg", "kind", "explode(concat(transform(a, k -> named_struct('k', k, 'n', 1L)), transform(o, k -> named_struct('k', k, 'n', -1L)))) as d")
     pairs = pairs.selectExpr("rid", "shiftleft(kind, 60) + shiftleft(cast(lg as bigint), 40) as base", "shiftleft(1L, lg) as s", "d.k as k", "d.n as n", f"{_check('d.k')} as h")
     cells = pairs.selectExpr("rid", f"explode(array({', '.join(f'base + {c}' for c in _cells('k', 's'))})) as pk", "n", "k", "h")
@@ -175,10 +192,14 @@ def fingerprint_versions(spark: SparkSession, df: DataFrame, key: str = "doc_id"
     half = "cast(length(text) div 2 as int)"
     rows = rows.selectExpr("rid", "id", "a", "x", "cast(length(text) as bigint) as n_chars", f"concat(substring(text, 1, length(text) - {half}), substring(following, 1, {half})) as edited")
     rows = rows.selectExpr("rid", "id", "a", "x", "n_chars", "unhex(sha2(edited, 256)) as sha", f"{digests('edited')} as e")
+    rows = rows.selectExpr("*", *[f"{base_cells(o)} as c{o}" for o in "aex"])
+    # the fingerprints themselves are subtracted and peeled first
+    small = lambda o: f"transform(array({peeled(subtracted('ca', f'c{o}'), f'{BASE}L', BASE_ROUNDS)}), r -> if(size(r.cells) = 0, cast(size(array_distinct(r.found)) as bigint), null))[0]"
+    rows = rows.selectExpr("rid", "id", "a", "e", "x", "n_chars", "sha", f"{rendered('a', 'ca')} as fingerprint", f"{rendered('e', 'ce')} as edited_fingerprint", f"{small('e')} as base0", f"{small('x')} as base1")
     rows, _ = stored(spark, rows, "versions")  # digests only; else the texts would be exchanged for both sides of the join
-    joined = rows.join(_peeled(rows.select("rid", "a", "e", "x").repartition("rid")), "rid", "left").na.fill(0, ["found0", "left0", "found1", "left1"])
+    joined = rows.join(_peeled(rows.where("base0 is null or base1 is null").select("rid", "a", "e", "x", "base0", "base1").repartition("rid")), "rid", "left").na.fill(0, ["found0", "left0", "found1", "left1"])
     for i, o in enumerate(("e", "x")):
-        total, prior = f"(size(a) + size({o}))", f"if(left{i} = 0, found{i}, null)"
+        total, prior = f"(size(a) + size({o}))", f"coalesce(base{i}, if(left{i} = 0, found{i}, null))"
         joined = joined.selectExpr("*", f"{prior} as try0")
         for t in range(1, RETRIES + 1):
             s = f"shiftleft(1L, {_size(total)} + {t})"
@@ -192,10 +213,11 @@ def fingerprint_versions(spark: SparkSession, df: DataFrame, key: str = "doc_id"
         f"id as `{key}`",
         "n_chars",
         "lower(hex(sha)) as edited_sha256",
-        f"{sketch('a')} as fingerprint",
-        f"{sketch('e')} as edited_fingerprint",
+        "fingerprint",
+        "edited_fingerprint",
         f"{near(0, 'e')} as near_edited",
         f"{near(1, 'x')} as near_next",
         "cast(size(a) as bigint) as n_paragraphs",
         "differ0 as n_edited_digests",
+        "base0 is not null and base1 is not null as by_fingerprint",
     )

@@ -6,8 +6,9 @@ cube method picks those: the fractional inclusion probabilities move along the
 null space of two constraints, the source's words and its documents, until
 each is 0 or 1 but for two at most. Blocks of bounded size fly independently
 on all workers, each leaving out a pool of rows of all sizes; these and what
-else stays fractional fly once more per source, again without a pool; the
-dozen rows that remain land where the words come nearest to the target.
+else stays fractional fly again in blocks, level by level, until one block a
+source is left; the dozen rows that remain land where the words come nearest
+to the target.
 
 The random walk is a function of keys and sizes, so reruns agree.
 
@@ -135,10 +136,22 @@ def mix_sources(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     tie = F.xxhash64("key", "size")
     units = rows.join(at, rows["source"].eqNullSafe(at["plan_source"])).select("key", "source", "size", "source_size", "target", "whole", "rank", tie.alias("tie"), F.pmod(tie, F.col("blocks")).cast("int").alias("block"), F.col("frac").alias("pi"))
     schema = units.schema
-    first, _ = stored(spark, units.groupBy("rank", "block").applyInPandas(_flown(False), schema), "mix-flown")
     fractional = (F.col("pi") > 1e-9) & (F.col("pi") < 1 - 1e-9)
-    last = first.where(fractional).withColumn("block", F.lit(0)).groupBy("rank").applyInPandas(_flown(True), schema)
-    done = first.where(~fractional).unionByName(last)
+    done, level = None, 0
+    while True:
+        flown, _ = stored(spark, units.groupBy("rank", "block").applyInPandas(_flown(False), schema), "mix-flown")
+        settled = flown.where(~fractional)
+        done = settled if done is None else done.unionByName(settled)
+        rest = flown.where(fractional)
+        left = {r["rank"]: r["count"] for r in rest.groupBy("rank").count().collect()}
+        if max(left.values(), default=0) <= BLOCK:
+            break
+        # what the blocks left flies once more in blocks, a hundredth of the rows at each level
+        level += 1
+        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r, n in left.items() for x in (r, -(-n // BLOCK))]), F.col("rank")), F.lit(1))
+        units = rest.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(level)), blocks).cast("int"))
+    last = rest.withColumn("block", F.lit(0)).groupBy("rank").applyInPandas(_flown(True), schema)
+    done = done.unionByName(last)
     return done.select(F.col("key").alias(key), "source", "size", "source_size", "target", (F.col("whole") + F.rint("pi")).cast("int").alias("copies"))
 
 

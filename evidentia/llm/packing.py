@@ -43,6 +43,11 @@ def slots(length: int, capacity: int = CAPACITY) -> tuple[int, int]:
     return (length - 1, capacity // length) if length <= SMALL else (SMALL + capacity // length, capacity // length)
 
 
+def most_class(capacity: int = CAPACITY) -> int:
+    """The largest class number: that of the shortest length above SMALL."""
+    return SMALL + capacity // (SMALL + 1)
+
+
 def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of the pieces that n ids are cut into."""
     out = [capacity] * (n // capacity)
@@ -117,13 +122,15 @@ def pack(spark: SparkSession, df: DataFrame, tokenizer: str, key: str = "doc_id"
     counts = made.groupBy("class", "per", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), (F.sum("n").over(Window.partitionBy("class")) / F.col("per")).cast("long").alias("bins"))
+    # a class has one row a partition; small beside the pieces, so a hot class is not exchanged by its number if the table is small
     placed = made.join(counts, ["class", "part"]).withColumn("at", F.col("first") + F.col("rank"))
     placed = placed.withColumns({"bin": F.floor(F.col("at") / F.col("per")).cast("long"), "slot": F.col("at") % F.col("per")})
     full = placed.where("bin < bins").drop("first", "bins", "at")
     # at most capacity // length pieces a class are left over, whatever the input
     left = placed.where("bin >= bins").drop("first", "bins", "at")
-    left = left.groupBy(F.lit("left")).applyInPandas(_left(capacity), left.schema).withColumn("class", F.lit(SMALL + SMALL))
-    both = full.unionByName(left).withColumn("sequence_id", F.col("bin") * (2 * SMALL + 1) + F.col("class"))
+    last = most_class(capacity) + 1
+    left = left.groupBy(F.lit("left")).applyInPandas(_left(capacity), left.schema).withColumn("class", F.lit(last))
+    both = full.unionByName(left).withColumn("sequence_id", F.col("bin") * (last + 1) + F.col("class"))
     order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     out = [F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset")]
     if with_ids:

@@ -12,6 +12,9 @@ from . import fingerprints, jaccard_join, licenses, media, mixing, packing, shar
 from .shared import documents, scratch
 
 
+ARRIVALS = 5
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(spark, documents(spark, sf_dir))
 
@@ -22,9 +25,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents read back from the compacted version of a sharded table."""
+    """The documents, arrived in ARRIVALS parts, read back from the compacted version of a sharded table."""
     table = sharding.ShardedTable(spark, scratch(spark, "shards"))
-    table.append(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    for part in range(ARRIVALS):
+        table.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == part))
     table.compact()
     return table.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
@@ -40,8 +45,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = toxicity.score_toxicity(docs, model)
-    held, hit = (toxicity.remainder("doc_id") == 1).alias("held_out"), (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
-    return out.select("doc_id", held, "score", hit, F.size("spans").cast("long").alias("n_spans"))
+    held, hit = F.coalesce(toxicity.remainder("doc_id") == 1, F.lit(False)).alias("held_out"), (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", held, "score", hit, F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ lists the live shards of one version. append() writes arrivals as small shards
 and commits a new version; compact() sorts the live shards into tiers of
 similar size (each tier FACTOR times the one before), rewrites every tier
 with at least FACTOR shards into files near the target size, and commits the
-version in which the new files replace the old. Readers of an older version
-keep their files.
-
-A commit creates the next manifest under a name that must not exist: of two
-writers one fails and starts anew, and a lost job leaves only files that no
-manifest names. Merging reads whole shards of a tier and joins scan partitions
+version in which the new files replace the old; what merged may fill the next
+tier, so it repeats until no tier has FACTOR shards. Readers of an older
+version keep their files.
+
+Every attempt writes to a folder of its own and commits just what it wrote
+there, so neither a job that died nor another writer can stand in its way or
+slip files into it. A commit creates the next manifest under a name that must
+not exist: of two writers one fails and starts anew, and what a lost job left
+is named by no manifest. Merging reads whole shards of a tier and joins scan partitions
 without a shuffle; rows keep their bytes.
 
 Defined results: rows, nulls, ties and repeated rows are kept as they are;
@@ -21,6 +24,7 @@ reads as empty with its schema; all columns of the arrivals are kept.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +83,7 @@ class ShardedTable:
     def _commit(self, version: int, schema: str, shards: list[Shard]) -> int:
         """Makes the version visible, or raises if another writer was first."""
         body = json.dumps({"version": version, "schema": json.loads(schema), "shards": [vars(s) for s in sorted(shards, key=lambda s: s.path)]})
-        hidden = self._path(f"{self.root}/manifests/.{version:010d}.{id(self):x}.tmp")
+        hidden = self._path(f"{self.root}/manifests/.{version:010d}.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(hidden, True)
         out.write(bytearray(body.encode()))
         out.close()
@@ -99,12 +103,19 @@ class ShardedTable:
         """Writes df as small shards of at most so many rows each and commits them."""
         now = self.manifest()
         version = now["version"] + 1
-        folder = f"data/arrived-{version:010d}"
+        folder = f"data/arrived-{version:010d}-{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", rows).parquet(f"{self.root}/{folder}")
         return self._commit(version, df.schema.json(), now["shards"] + self._written(folder, version))
 
     def compact(self) -> int:
-        """Merges every tier with FACTOR shards or more; returns the version, a new one only if something merged."""
+        """Merges tiers with FACTOR shards or more until there are none; returns the version, a new one only if something merged."""
+        version = self.version()
+        while (now := self._merge()) != version:
+            version = now
+        return version
+
+    def _merge(self) -> int:
+        """One pass over the tiers as they are; returns the version, a new one only if something merged."""
         now = self.manifest()
         version = now["version"] + 1
         tiers: dict[int, list[Shard]] = {}
@@ -116,7 +127,7 @@ class ShardedTable:
             if len(old) < FACTOR:
                 continue
             files = max(1, round(sum(s.bytes for s in old) / self.target_bytes))
-            folder = f"data/merged-{version:010d}-{tier:02d}"
+            folder = f"data/merged-{version:010d}-{tier:02d}-{uuid.uuid4().hex}"
             schema = T.StructType.fromJson(now["schema"])
             self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in old]).coalesce(files).write.parquet(f"{self.root}/{folder}")
             live = (live - set(old)) | set(self._written(folder, version))

@@ -13,7 +13,11 @@ one 2 x 2 matrix, so exact marginals cost only the tokens that matter, and
 whole texts of any length are scored.
 
 The model is fitted on the driver on a bounded sample of labelled rows: at
-most MOST_TOXIC and MOST_CLEAN documents, those with the smallest hashed ids.
+most MOST_TOXIC and MOST_CLEAN documents, those with the smallest hashed ids,
+as far as they have MOST_CHARS code points in all. Features are chosen by
+their counts in all of them, near copies counted once; the field's weights are
+fitted on at most MOST_SEGMENTS / 2 segments of SEGMENT words with such
+features of each label, and a quarter as many without, chosen by a hash.
 
 Defined results: null and empty texts have no tokens and get the score of a
 text without evidence; documents without a label are scored like others;
@@ -35,10 +39,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 THRESHOLD = 0.7
-SEGMENT, SEGMENTS, STEPS = 256, 2500, 60
+MOST_CHARS = 60_000_000
+SEGMENT, MOST_SEGMENTS, STEPS = 256, 2500, 60
+BANDS = 24
 BUCKETS = 1 << 22
 PIECE = 512
 MOST_CACHED = 100_000
@@ -46,6 +53,13 @@ WORD = re.compile(r"[^\W\d_]+")
 AFFIXES = range(3, 9)
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    lower = text.lower()
+    # only a capital that lower case makes longer could move a later run
+    return WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def _features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in AFFIXES if len(word) > k), *(f"*{word[-k:]}" for k in AFFIXES if len(word) > k)]
 
@@ -125,23 +139,41 @@ class _Sample:
 
     def __init__(self, docs: list[tuple[str, int]]) -> None:
         index: dict[str, int] = {}
-        self.docs = [(np.array([index.setdefault(w, len(index)) for w in WORD.findall((x or "").lower())], np.int32), int(t)) for x, t in docs]
+        self.docs = [(np.array([index.setdefault(w, len(index)) for w in words_of(x or "")], np.int32), int(t)) for x, t in docs]
         self.words = list(index)
 
     def texts(self) -> Iterator[tuple[list[str], int]]:
         for ids, toxic in self.docs:
             yield [self.words[i] for i in ids], toxic
 
-    def distinct(self) -> list[tuple[np.ndarray, int]]:
-        """Word sets of the documents without those that begin or end like one before: copies would make their every word look toxic."""
-        seen: set[bytes] = set()
-        out = []
-        for ids, toxic in self.docs:
-            marks = {ids[:8].tobytes(), b"|" + ids[-8:].tobytes()}
-            if not seen & marks:
-                seen |= marks
-                out.append((np.unique(ids), toxic))
-        return out
+    def groups(self) -> list[tuple[np.ndarray, int]]:
+        """Distinct words of each group of near copies of one label, so that a feature counts once a group: copies would make their every word look toxic."""
+        sets = [np.unique(ids) for ids, _ in self.docs]
+        up = list(range(len(sets)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        rng = np.random.default_rng(7)
+        salts = rng.integers(1, 1 << 31, 3 * BANDS, dtype=np.int64) * 2 + 1
+        met: dict[tuple, int] = {}
+        for i, (s, (_, toxic)) in enumerate(zip(sets, self.docs, strict=True)):
+            if not len(s):
+                continue
+            least = ((s[None, :].astype(np.int64) + 1) * salts[:, None] * 0x9E3779B1 % ((1 << 61) - 1)).min(1)
+            for band in range(BANDS):
+                j = met.setdefault((toxic, band, *least[3 * band : 3 * band + 3].tolist()), i)
+                if top(i) != top(j):
+                    common = len(np.intersect1d(s, sets[j], assume_unique=True))
+                    if 2 * common >= len(s) + len(sets[j]) - common:
+                        up[max(top(i), top(j))] = min(top(i), top(j))
+        members: dict[int, list[int]] = {}
+        for i in range(len(sets)):
+            members.setdefault(top(i), []).append(i)
+        return [(np.unique(np.concatenate([sets[i] for i in own])), self.docs[k][1]) for k, own in members.items()]
 
 
 def _telling(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -154,7 +186,7 @@ def _telling(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray
 
 def _selected(sample: _Sample) -> list[str]:
     """Features that tell toxic documents: first by hashed counts, then by the exact ones of what is left."""
-    docs = sample.distinct()
+    docs = sample.groups()
     n = [sum(t == y for _, t in docs) for y in (0, 1)]
     buckets = [np.array([zlib.crc32(f.encode()) % BUCKETS for f in _features(w)], np.int32) for w in sample.words]
     counts = np.zeros((2, BUCKETS), np.int32)
@@ -177,16 +209,15 @@ def _fit_field(sample: _Sample, names: list[str]) -> tuple[np.ndarray, float, np
     """Weights, bias and transitions that make the training sequences likeliest, by Adam with a small penalty."""
     ids = {f: i for i, f in enumerate(names)}
     of = [[ids[f] for f in _features(w) if f in ids] for w in sample.words]
-    segments, plain = [], []
-    for doc, toxic in sample.docs:
+    # the bound takes segments of all documents alike, by a hash of their places
+    place: dict[int, list[tuple[int, int, int]]] = {0: [], 1: [], 2: []}
+    for d, (doc, toxic) in enumerate(sample.docs):
         for at in range(0, len(doc), SEGMENT):
-            own = [of[i] for i in doc[at : at + SEGMENT]]
-            (segments if any(own) else plain).append((own, toxic))
-            if len(plain) > SEGMENTS:
-                plain.pop()
-    # the bound leaves some of both labels
-    segments = [s for y in (1, 0) for s in [x for x in segments if x[1] == y][: SEGMENTS // 2]]
-    segments += plain[: max(200, len(segments) // 4)]
+            kind = toxic if any(of[i] for i in doc[at : at + SEGMENT]) else 2
+            place[kind].append((zlib.crc32(b"%d:%d" % (d, at)), d, at))
+    chosen = [x for kind in (1, 0) for x in sorted(place[kind])[: MOST_SEGMENTS // 2]]
+    chosen += sorted(place[2])[: max(200, len(chosen) // 4)]
+    segments = [([of[i] for i in sample.docs[d][0][at : at + SEGMENT]], sample.docs[d][1]) for _, d, at in chosen]
     rows, width = len(segments), SEGMENT
     y, real = np.zeros((rows, width), int), np.zeros((rows, width), bool)
     cell, feat = [], []
@@ -268,7 +299,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     ids = spark.createDataFrame(parts[0].unionByName(parts[1]).collect(), known.schema)
-    # as many rows as the two bounds allow, at any size of the input
+    sizes = docs.select(F.col(key).alias("k"), F.length(text).alias("n")).join(F.broadcast(ids), "k").groupBy("k", F.xxhash64("k").alias("h")).agg(F.max(F.coalesce("n", F.lit(0))).alias("n")).collect()
+    held, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["h"]):
+        total += r["n"]
+        if total <= MOST_CHARS or not held:
+            held.append((r["k"],))
+    ids = ids.join(spark.createDataFrame(held, T.StructType([ids.schema["k"]])), "k")
+    # as many rows as the bounds allow, at any size of the input
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("k")).select("id", "text", "y").dropDuplicates(["id"]).toPandas().sort_values("id")
     have = rows["y"].value_counts()
     rates = tuple(counts.get(y, 0) / max(1, int(have.get(y, 0))) for y in (0, 1))
@@ -279,12 +317,11 @@ def _held(model: Model, spans: bool):
     def scored(texts: list[str]) -> tuple[list[float], list[list[dict]]]:
         scores, found = [], []
         for x in texts:
-            lower = x.lower()
-            words = WORD.findall(lower)
+            words = words_of(x)
             marks = model.marginals(words)
             scores.append(model.document(marks, len(words)))
             bad = [(i, p) for i, p in marks if p >= 0.5] if spans else []
-            where = list(WORD.finditer(lower)) if bad else []
+            where = list(WORD.finditer(x)) if bad else []
             found.append([{"start": where[i].start(), "end": where[i].end(), "marginal": p} for i, p in bad])
         return scores, found
 
@@ -292,7 +329,7 @@ def _held(model: Model, spans: bool):
 
 
 def score_toxicity(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """(key, score, spans): offending code-point spans of the lower-cased text with their marginals."""
+    """(key, score, spans): offending code-point spans of the text with their marginals."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 

@@ -33,15 +33,9 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Hosts that the list blocks when no rule fits.
-LISTED = [
-    ("spam-farm.example.com", "/", "block"),
-    ("spam-farm.example.net", "/", "block"),
-    ("spam-farm.example.org", "/", "block"),
-    ("cheap-pills.example.com", "/", "block"),
-    ("cheap-pills.example.net", "/", "block"),
-    ("cheap-pills.example.org", "/", "block"),
-]
+#: Names of junk hosts. Under org the rule decides, so the list has them under the other two only.
+JUNK = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+LISTED = [(f"{name}.example.{top}", "/", "block") for name in JUNK for top in ("com", "net")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -91,7 +85,14 @@ def url_filter(spark: SparkSession, df: DataFrame, entries: DataFrame, key: str
     return out.select(F.col("key").alias(key), "host", "path", "rule", "listed", F.coalesce("rule_verdict", "listed_verdict", F.lit(default)).alias("verdict"))
 
 
+def entries_from(spark: SparkSession, path: str) -> DataFrame:
+    """Rules and a list that is kept as a table (Parquet) of urls: (url, verdict, is_rule)."""
+    host, path_ = split_url(F.when(F.instr("url", "://") > 0, F.col("url")).otherwise(F.concat(F.lit("any://"), F.col("url"))))
+    return spark.read.parquet(path).select(host.alias("host"), F.when(path_ == "", "/").otherwise(path_).alias("path"), "verdict", "is_rule").where("host <> ''")
+
+
 def default_entries(spark: SparkSession) -> DataFrame:
+    """The contract's rules and the built-in list."""
     rows = [(*r, True) for r in RULES] + [(*r, False) for r in LISTED]
     return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
 

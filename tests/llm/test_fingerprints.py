@@ -58,3 +58,27 @@ def test_odd_rows(spark, odd, none):
     assert fingerprints.fingerprint_versions(spark, none).count() == 0
     lone = fingerprints.fingerprint_versions(spark, odd.where("doc_id = 10")).first()
     assert lone.near_next == 1.0
+
+
+def cells_of(fingerprint):
+    n, cells = fingerprint.split(":")
+    out = []
+    for i in range(0, len(cells), 36):
+        c = cells[i : i + 36]
+        out.append([int(c[:4], 16), int(c[4:20], 16), int(c[20:], 16)])
+    return int(n, 16), out
+
+
+def test_likeness_follows_from_the_fingerprints(spark):
+    """Cells that differ in one digest alone tell it; small edits are told by the returned fingerprints."""
+    rows = [(i, "\n".join(f"line {j} of text {i // 2}" for j in range(1, 30)) + f"\nend {i}") for i in range(8)]
+    got = sorted(fingerprints.fingerprint_versions(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: -r.doc_id)
+    told = 0
+    for r, after in zip(got, got[1:], strict=False):
+        (n, a), (m, b) = cells_of(r.fingerprint), cells_of(after.fingerprint)
+        assert n == r.n_paragraphs and len(a) == 3 * fingerprints.BASE
+        assert sum(z[0] for z in a) == 3 * n
+        if sum(x != y for x, y in zip(a, b, strict=True)) <= 6:
+            told += 1
+            assert r.near_next == pytest.approx(2 * 29 / (n + m))
+    assert told == 4

@@ -27,7 +27,7 @@ def test_ids_are_the_tokenizers():
     assert tokens.encode([x], PATH)[0] == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def check(rows, texts):
+def check(rows, texts, capacity=packing.CAPACITY):
     """Round trip: every id of every row in one piece, and sequences without gaps or overflow."""
     bins, docs = {}, {}
     for r in rows:
@@ -38,7 +38,7 @@ def check(rows, texts):
         for offset, length in sorted(own):
             assert offset == at and length > 0
             at += length
-        assert at <= packing.CAPACITY
+        assert at <= capacity
     for k, copies in texts.items():
         ids = ids_of(copies[0])
         spans = sorted((r.start, r.length) for r in docs[k])
@@ -76,3 +76,10 @@ def test_pieces_cover(n):
     cut = packing.pieces(n)
     assert sum(cut) == n and all(0 < x <= packing.CAPACITY for x in cut)
     assert all(x * packing.slots(x)[1] <= packing.CAPACITY for x in cut)
+
+
+def test_sequences_of_any_capacity_stay_apart(spark, odd_unique):
+    texts = {r.doc_id: [r.text] for r in odd_unique.collect()}
+    for capacity in (512, 16_384):
+        assert max(packing.slots(n, capacity)[0] for n in range(1, capacity + 1)) == packing.most_class(capacity)
+    check(packing.pack(spark, odd_unique, PATH, capacity=16_384).collect(), texts, 16_384)

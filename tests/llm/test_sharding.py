@@ -44,3 +44,22 @@ def test_empty(spark, none):
     assert table.append(none) == 1
     assert table.read().count() == 0 and table.read().columns == none.columns
     assert table.compact() == 1
+
+
+def test_what_a_lost_job_wrote_neither_blocks_nor_slips_in(spark, odd, monkeypatch):
+    table = ShardedTable(spark, scratch(spark, "t"))
+    monkeypatch.setattr(ShardedTable, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        table.append(odd)
+    monkeypatch.undo()
+    assert table.append(odd) == 1 and rows(table.read()) == rows(odd)
+
+
+def test_merged_runs_merge_again(spark, odd):
+    table = ShardedTable(spark, scratch(spark, "t"), target_bytes=1 << 30)
+    for _ in range(2 * FACTOR):
+        table.append(odd.coalesce(1), rows=10**6)
+    table.compact()
+    shards = table.manifest()["shards"]
+    tiers = [s.tier for s in shards]
+    assert all(tiers.count(t) < FACTOR for t in tiers) and table.read().count() == 2 * FACTOR * odd.count()

@@ -58,3 +58,30 @@ def test_odd_rows(spark, odd, none, model):
     trained = toxicity.train(spark, odd, labels)
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(odd, trained).collect())
     assert toxicity.score_toxicity(odd, toxicity.train(spark, odd, labels.limit(0))).agg({"score": "max"}).first()[0] < 1e-6
+
+
+def test_spans_point_into_the_text_itself(spark, model):
+    text = "İİ BAKO Vrakbako li. İ VRAKMU ste"
+    found = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().spans
+    assert [text[s.start : s.end] for s in found] == ["Vrakbako", "VRAKMU"]
+
+
+def test_near_copies_count_once():
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    copies = [(" ".join([*base[:i], f"x{i}", *base[i + 1 :]]).translate(letters), 1) for i in range(20)]
+    other = [(" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)).translate(letters), 1) for _ in range(5)]
+    assert len(toxicity._Sample(copies + other).groups()) == 6
+    assert toxicity._selected(toxicity._Sample(copies + [(x, 0) for x, _ in other])) == []
+
+
+def test_held_out_labels(spark):
+    """Fitted on the learning fold of sf0.01, the held-out labels tell how well it does."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.train(spark, docs, labels), spans=False)
+    rows = scored.join(labels.where(toxicity.remainder("doc_id") == 1).where("toxic in (0, 1)"), "doc_id").collect()
+    toxic, clean = ([r.score >= toxicity.THRESHOLD for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) >= 10 and sum(toxic) / len(toxic) >= 0.75
+    assert sum(clean) / len(clean) <= 0.02
