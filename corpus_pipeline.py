@@ -16,12 +16,18 @@ from evidentia.llm.shared import documents, small_batches, stored
 
 #: Near duplicates: shingles of five words, four fifths in common.
 WORDS, NUM, DEN = 5, 80, 100
+#: What tells rows apart in the near-duplicates stage.
+KEY = "__row"
 #: Words whose ids a packing worker keeps: few, for workers of earlier stages still hold memory.
 CACHED = 200_000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on labelled ones, doesn't reject."""
+    """Documents that the toxicity model, fitted on labelled ones, doesn't reject.
+
+    Null and empty texts stay; repeated rows stay or go together; without
+    labels nothing goes; an empty table stays empty.
+    """
     small_batches(spark)
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
@@ -30,26 +36,38 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: the one with the smallest doc_id.
 
-    Documents without words link with nothing and stay. Where doc_id is null
-    or repeats, rows are numbered first and the smallest number stays.
+    Documents without words link with nothing and stay. Of rows with equal
+    doc_id that with the smallest hash of its columns counts as smaller, a null
+    doc_id as largest; of rows equal in every column one stays. An empty table
+    stays empty.
     """
-    own = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    key, rows = "doc_id", docs
-    if own["n"] != own["d"]:
-        key = "__row"
-        rows, _ = stored(spark, docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    groups = jaccard_join.jaccard_components(spark, rows, key=key, words=WORDS, num=NUM, den=DEN)
-    stay = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__stay"))
-    return rows.join(stay, rows[key] == F.col("__stay"), "left_semi").select(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.withColumn(KEY, row)
+    groups = jaccard_join.jaccard_components(spark, rows, key=KEY, words=WORDS, num=NUM, den=DEN)
+    stay = groups.where(F.col(KEY) == F.col("component_id")).groupBy(F.col(KEY).alias("__stay")).agg(F.count("*").alias("__n"))
+    kept = rows.join(stay, rows[KEY] == F.col("__stay"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)) > 0
+    again = (F.col("__n") > 1) & words
+    # only rows that repeat in every column meet in one place
+    once = kept.where(again).select(*docs.columns).dropDuplicates()
+    return kept.where(~again).select(*docs.columns).unionByName(once)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    Null texts have no words; null sources are one source; repeated rows are
+    drawn one by one; an empty table stays empty.
+    """
     return mixing.mixed(spark, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences.
+
+    A null or empty text is its end id alone; repeated rows are packed each; an
+    empty table gives no pieces.
+    """
     return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED)
 
 
