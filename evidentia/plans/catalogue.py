@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence, governance, reconstruction
+from . import assurance, evidence, governance, operations, reconstruction
 
-QUERIES = {**evidence.QUERIES, **reconstruction.QUERIES, **governance.QUERIES}
-ORACLES = {**evidence.ORACLES, **reconstruction.ORACLES, **governance.ORACLES}
+_PARTS = (evidence, reconstruction, governance, assurance, operations)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
