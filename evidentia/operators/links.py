@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SHA256, falsy, valid_text, valid_time
+from ..sources.readers import ContractError
+from ..sources.storage import stored
 
 #: Closed sets of the profile.
 LINK_TYPES = ("correlation_id", "run_id", "artifact_digest", "resource_uid", "change_id", "trace_id", "custom")
@@ -71,14 +73,15 @@ def eligible(links: DataFrame, link_type: str, custom_type: str | None = None, s
 
 
 def resolve(links: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ("source_type", "source_id"), **rules) -> DataFrame:
-    """Per seed: (keys.., status, matches, excluded). A seed with none or several keys abstains: missing, ambiguous.
+    """Per seed: (keys.., status, reason, selected_type, selected_scope, selected_value, matches, excluded). A seed with none or several keys abstains: missing, ambiguous.
 
     Peers share the seed's key and are looked up in its scope; a peer with
     several keys there is excluded, not matched. All seeds resolve in one join.
     """
     rows = eligible(links, **rules)
     k = list(keys)
-    known = rows.select(*k, *KEY).distinct()
+    # each of the three uses would make the links anew
+    known = stored(rows.select(*k, *KEY).distinct(), "links")
     per = known.groupBy(*k).agg(F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("key"))
     seed = seeds.select(*k).distinct().join(per, k, "left")
     # a peer's keys in one scope
@@ -86,12 +89,32 @@ def resolve(links: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ("source
     peer = known.join(scoped, [*k, "scope_type", "scope_id"]).groupBy(*KEY).agg(F.expr("count_if(m = 1)").alias("matches"), F.expr("count_if(m > 1)").alias("excluded"))
     one = seed.where("n = 1").select(*k, *[F.col(f"key.{c}").alias(c) for c in KEY])
     cond = [one[c].eqNullSafe(peer[c]) for c in KEY]
-    done = one.join(peer, cond).select(*[one[c] for c in k], F.lit("resolved").alias("status"), "matches", "excluded")
-    zero = F.lit(0).cast("long")
-    rest = seed.where("n is null or n > 1").select(*k, F.when(F.col("n").isNull(), "missing").otherwise("ambiguous").alias("status"), zero.alias("matches"), zero.alias("excluded"))
+    scope = F.concat_ws(":", one["scope_type"], one["scope_id"])
+    done = one.join(peer, cond).select(*[one[c] for c in k], F.lit("resolved").alias("status"), F.lit("one_exact_link_key").alias("reason"), one["type"].alias("selected_type"), scope.alias("selected_scope"), one["value"].alias("selected_value"), "matches", "excluded")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    reason = F.when(F.col("n").isNull(), "no_eligible_link").otherwise("multiple_eligible_link_keys")
+    rest = seed.where("n is null or n > 1").select(*k, F.when(F.col("n").isNull(), "missing").otherwise("ambiguous").alias("status"), reason.alias("reason"), none.alias("selected_type"), none.alias("selected_scope"), none.alias("selected_value"), zero.alias("matches"), zero.alias("excluded"))
     return done.unionByName(rest)
 
 
+def memberships(links: DataFrame, keys: tuple[str, ...] = ("source_type", "source_id"), **rules) -> DataFrame:
+    """(link key.., keys.., member): who matches a link key and who is excluded, for it has several in that scope.
+
+    With the key that resolve() selects for a seed this is its list of matches; it is stated once a key, not once a seed.
+    """
+    known = eligible(links, **rules).select(*keys, *KEY).distinct()
+    scoped = known.groupBy(*keys, "scope_type", "scope_id").agg(F.count("*").alias("m"))
+    return known.join(scoped, [*keys, "scope_type", "scope_id"]).select(*KEY, *keys, F.when(F.col("m") == 1, "match").otherwise("excluded").alias("member"))
+
+
+def seed(df: DataFrame, source_type: str, source_id: str) -> DataFrame:
+    """The record of a source; raises if there is none."""
+    found = df.where((F.col("source_type") == source_type) & (F.col("source_id") == source_id))
+    if found.isEmpty():
+        raise ContractError(f"no record of {source_type} {source_id}")
+    return found
+
+
 def migrated(df: DataFrame, scope_type: str = "global", scope_id: str = "legacy") -> DataFrame:
     """Rows of the flat evidence table as profile records; the whole original row stays in extensions."""
     link = F.array_compact(

@@ -35,19 +35,32 @@ def drops(df: DataFrame, raw: str, allowed: dict[str, str]) -> DataFrame:
     return rows.groupBy("path", "reason").agg(F.count("*").alias("dropped"))
 
 
-#: Keys that go, and keys whose value is replaced.
-DROPPED = ("managedFields", "data", "stringData")
-REPLACED = ("token", "password", "authorization", "secret", "sourceIPs", "userAgent")
+#: Members that go, members whose value is replaced (names in lower case), and the marks that stand instead.
+DROPPED = ("sourceIPs", "authentication.kubernetes.io/credential-id", "authentication.kubernetes.io/issued-credential-id")
+REPLACED = ("token", "ca.crt", "tls.crt", "certificate-authority-data", "client-certificate-data", "client-key-data")
+PROJECTED = "serviceAccountToken"
+SENSITIVE, PROJECTION, ABSOLUTE, CERTIFICATE, LOCAL = "<redacted-sensitive-value>", "<redacted-service-account-token-projection>", "<redacted-absolute-path>", "<redacted-certificate>", "<redacted-local-path>"
+_LOCAL = re.compile(r"/(?:Users|home)/[^\s\"',}\]]+")
 _SECRET = re.compile(r"(?i)bearer\s+[a-z0-9._~+/=-]+|-----BEGIN [A-Z ]+-----|/(?:Users|home)/[^/\s\"]+")
 
 
-def redact(value):
-    """A JSON value without dropped keys, with replaced keys and masked secrets in its text."""
-    if isinstance(value, dict):
-        return {k: "[redacted]" if k.lower() in {r.lower() for r in REPLACED} else redact(v) for k, v in value.items() if k not in DROPPED}
+def _masked(name: str, value: str) -> str:
+    """Text under a member's name: paths by the name, certificates and local paths by the text."""
+    if value.startswith("/") and name != "requestURI" and name.lower().endswith("path"):
+        return ABSOLUTE
+    return CERTIFICATE if "-----BEGIN CERTIFICATE-----" in value else _LOCAL.sub(LOCAL, value)
+
+
+def redact(value, name: str = ""):
+    """A JSON value of any depth without what mustn't be public."""
+    if isinstance(value, str):
+        return _masked(name, value)
     if isinstance(value, list):
-        return [redact(v) for v in value]
-    return _SECRET.sub("[redacted]", value) if isinstance(value, str) else value
+        return [redact(v, name) for v in value]
+    if not isinstance(value, dict):
+        return value
+    mark = {k: SENSITIVE if k.lower() in REPLACED else PROJECTION for k in value if k.lower() in REPLACED or k == PROJECTED}
+    return {k: mark[k] if k in mark else redact(v, k) for k, v in value.items() if k not in DROPPED}
 
 
 def redacted_json(df: DataFrame, column: str, into: str = "redacted") -> DataFrame:
@@ -73,7 +86,7 @@ def unsafe_paths(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame
     def walk(value, path=""):
         if isinstance(value, dict):
             for k, v in value.items():
-                if k.lower() in {r.lower() for r in REPLACED} or k in DROPPED:
+                if k.lower() in REPLACED or k in DROPPED or k == PROJECTED:
                     yield f"{path}.{k}"
                 yield from walk(v, f"{path}.{k}")
         elif isinstance(value, list):

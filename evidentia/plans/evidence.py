@@ -189,6 +189,7 @@ per AS (SELECT source_type, source_id, count(*) AS n, min(service) AS service, m
 scoped AS (SELECT source_type, source_id, service, count(*) AS m FROM known GROUP BY ALL),
 peer AS (SELECT service, value, count(*) FILTER (m = 1) AS matches, count(*) FILTER (m > 1) AS excluded FROM known JOIN scoped USING (source_type, source_id, service) GROUP BY ALL)
 SELECT source_type, source_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status,
+  CASE WHEN n IS NULL THEN 'no_eligible_link' WHEN n > 1 THEN 'multiple_eligible_link_keys' ELSE 'one_exact_link_key' END AS reason, CASE WHEN n = 1 THEN 'correlation_id' END AS selected_type, CASE WHEN n = 1 THEN 'namespace:' || per.service END AS selected_scope, CASE WHEN n = 1 THEN per.value END AS selected_value,
   CASE WHEN n = 1 THEN matches ELSE 0 END AS matches, CASE WHEN n = 1 THEN excluded ELSE 0 END AS excluded
 FROM evidence LEFT JOIN per USING (source_type, source_id) LEFT JOIN peer ON n = 1 AND peer.service = per.service AND peer.value = per.value"""
 )
@@ -197,6 +198,42 @@ def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolve(links.exploded(r), r, link_type="correlation_id")
 
 
+@query(f"WITH {LINKS}, known AS (SELECT DISTINCT source_type, source_id, service, value FROM link WHERE type = 'correlation_id') SELECT source_type, source_id, service AS scope_id, value, CASE WHEN count(*) OVER (PARTITION BY source_type, source_id, service) = 1 THEN 'match' ELSE 'excluded' END AS member FROM known")
+def link_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = links.memberships(links.exploded(records(spark, sf_dir)), link_type="correlation_id")
+    return out.select("source_type", "source_id", "scope_id", "value", "member")
+
+
+@query(f"WITH {EVIDENCE} SELECT source_type, source_id, outcome, service FROM evidence WHERE service < 'svc-0005' ORDER BY 1, 3")
+def evidence_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, sf_dir).where("service < 'svc-0005'").orderBy("source_type", "outcome").select("source_type", "source_id", "outcome", "service")
+
+
+@query(f"WITH {EVIDENCE} SELECT count(*) AS rows, 64 AS length, true AS same, true AS differs FROM evidence")
+def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest in one order: the same from another layout, another in another order."""
+    e = evidence(spark, sf_dir)
+    a = verify.ordered_digest(e, ["source_ts", "source_type", "source_id"], 500)
+    b = verify.ordered_digest(e.repartition(3), ["source_ts", "source_type", "source_id"], 500).select(F.col("digest").alias("b"))
+    c = verify.ordered_digest(e, ["source_type", "source_id"], 500).select(F.col("digest").alias("c"))
+    # each side is one row
+    return a.crossJoin(b).crossJoin(c).select("rows", F.length("digest").alias("length"), (F.col("digest") == F.col("b")).alias("same"), (F.col("digest") != F.col("c")).alias("differs"))
+
+
+@query("SELECT 'unique l_orderkey, l_linenumber' AS rule, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) HAVING sum(n) > 0 UNION ALL SELECT 'small', count(*) FROM lineitem WHERE l_quantity >= 45 HAVING count(*) > 0")
+def constraint_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.constraint_errors(table(spark, sf_dir, "lineitem"), [["l_orderkey", "l_linenumber"]], ("l_partkey",), {"small": "l_quantity < 45"})
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 4 THEN 'not an object' ELSE 'not JSON' END AS error FROM events")
+def json_strictness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects only: repeated names, numbers that aren't finite and broken texts are no JSON."""
+    raw = F.element_at(F.array(F.lit('{"a":1}'), F.lit('{"a":1,"a":2}'), F.lit('{"a":NaN}'), F.lit('{"a":'), F.lit("[1]")), (F.col("event_id") % 5 + 1).cast("int"))
+    v = F.try_parse_json(raw)
+    error = F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object").otherwise("ok")
+    return table(spark, sf_dir, "events").select("event_id", error.alias("error"))
+
+
 @query(f"WITH {EVIDENCE} SELECT source_type, source_id, CASE WHEN correlation_id <> '' THEN 1 ELSE 0 END AS n_links, nullif(correlation_id, '') AS link_value FROM evidence")
 def legacy_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = links.migrated(evidence(spark, sf_dir))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crossplane, ledger, privacy, verify
+from ..operators import corpus, crossplane, ledger, privacy, verify
 from ..sources.views import CLAIMS, claims, table
+from ..streaming import live
 from .evidence import EVIDENCE, evidence
 
 QUERIES: dict = {}
@@ -201,9 +202,9 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey::VARCHAR AS event_id, CASE WHEN gone THEN 'pruned' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'stored' END AS state, CASE WHEN NOT gone THEN o_orderpriority END AS payload
-FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') < '1995-01-01' AND o_custkey % 10 <> 0 AS gone FROM orders)""")
+FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') < '1998-01-01' AND o_custkey % 10 <> 0 AS gone FROM orders)""")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.prune(_ledger(spark, sf_dir), F.lit("1995-01-01")).select("event_id", "state", "payload")
+    return ledger.prune(_ledger(spark, sf_dir), F.lit("1998-01-01")).select("event_id", "state", "payload")
 
 
 @query("SELECT count(*) FILTER (o_custkey % 10 = 0 OR o_orderkey % 100 = 1) AS held, count(*) FILTER (NOT (o_custkey % 10 = 0 OR o_orderkey % 100 = 1)) AS free FROM orders")
@@ -277,3 +278,68 @@ def cohort_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_to_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
     return verify.ratio_to_reference(rows, ["l_orderkey", "l_linenumber"], "l_returnflag", "A", "q").select("l_orderkey", "l_linenumber", "l_returnflag", F.round("ratio", 9).alias("ratio"))
+
+
+# --- queue, retention and recovery ---------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey::VARCHAR AS event_id, CASE WHEN o_orderstatus <> 'P' OR r <= 20 THEN 'stored' ELSE 'pending' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey::VARCHAR) AS r FROM orders)")
+def drained_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.drained(_ledger(spark, sf_dir), 20).select("event_id", "state")
+
+
+@query("SELECT 't' AS tenant_id, 'retention' AS reason, count(*) FILTER (o_custkey % 10 <> 0) AS deleted_count, count(*) FILTER (o_custkey % 10 = 0) AS held_count FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1998-01-01'")
+def retention_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.receipts(_ledger(spark, sf_dir), F.lit("1998-01-01"), "retention").drop("deleted_sha256")
+
+
+@query(
+    """WITH s AS (SELECT (o_orderkey % 50)::VARCHAR AS event_id, o_orderkey AS n FROM orders WHERE o_orderkey < 500),
+f AS (SELECT event_id, min(n) AS first FROM s GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY first) AS r FROM f)
+SELECT s.n AS arrival, CASE WHEN r > 30 THEN 'queue_full' WHEN s.n = first THEN 'queued' ELSE 'duplicate' END AS decision FROM s JOIN k USING (event_id)"""
+)
+def refused_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty events sent again and again to a queue of thirty: what was refused is refused at each retry."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    event = (F.col("o_orderkey") % 50).cast("string")
+    batch = o.select(F.lit("t").alias("tenant_id"), F.lit("s").alias("source_id"), event.alias("event_id"), (F.col("o_orderkey") % 50).cast("long").alias("sequence"), F.sha2(event, 256).alias("fingerprint"), F.col("o_orderkey").alias("arrival"))
+    return ledger.decide(batch, max_pending=30).select("arrival", "decision")
+
+
+@query("SELECT count(*) AS events, round_even(count(*) * 0.2, 0)::BIGINT AS dropped, count(*) AS stored_once FROM events")
+def loss_and_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lossy delivery, its repeats and its recovery after a restart leave every event in the ledger exactly once."""
+    sent = corpus.deliveries(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("sequence")), "event_id", 0.2, 7, "loss", 7)
+    times = F.when(F.col("phase") == "sent_twice", F.array(F.lit("1"), F.lit("2"))).when(F.col("phase") == "sent", F.array(F.lit("1"))).otherwise(F.array(F.lit("3")))
+    arrivals = sent.select(F.lit("t").alias("tenant_id"), F.concat(F.lit("s"), F.col("sequence") % 16).alias("source_id"), "event_id", "sequence", F.sha2("event_id", 256).alias("fingerprint"), F.explode(times).alias("round"), "turn", "phase")
+    decided = ledger.decide(arrivals.withColumn("arrival", F.concat("round", "turn")))
+    rows = decided.groupBy("event_id").agg(F.count_if(F.col("decision") == "queued").alias("q"), F.count_if(~F.col("decision").isin("queued", "duplicate")).alias("bad"))
+    lost = sent.agg(F.count("*").alias("events"), F.count_if(F.col("phase") == "dropped_then_recovered").alias("dropped"))
+    return lost.crossJoin(rows.agg(F.expr("count_if(q = 1 and bad = 0)").alias("stored_once")))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 NOT IN (1, 5)")
+def freshness_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("event_id") % 7
+    seconds = F.when(d == 1, -301).when(d == 5, 31).when(d == 2, -300).when(d == 3, 30).otherwise(0)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("received")).withColumn("observed", F.col("received") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")))
+    return live.fresh(rows, "observed", "received").select("event_id")
+
+
+@query("SELECT event_id, '{\"a\":{\"mountPath\":\"<redacted-absolute-path>\",\"note\":\"see <redacted-local-path> now\"},\"requestURI\":\"/api/' || event_id || '\",\"secret\":[{\"token\":\"<redacted-sensitive-value>\"}],\"serviceAccountToken\":\"<redacted-service-account-token-projection>\"}' AS redacted FROM events")
+def redaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit('{"sourceIPs":["10.0.0.1"],"requestURI":"/api/'), F.col("event_id").cast("string"), F.lit('","a":{"mountPath":"/var/run","note":"see /home/me/x now"},"secret":[{"token":"t"}],"serviceAccountToken":{"path":"p"}}'))
+    return privacy.redacted_json(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw").select("event_id", "redacted")
+
+
+@query("""WITH a AS (SELECT event_type AS verb, user_id, event_id % 4 = 0 AS denied FROM events)
+SELECT count(*) AS records, count(DISTINCT user_id) AS actors, count(*) FILTER (denied) AS denials, (SELECT string_agg(verb || '=' || n, ',' ORDER BY verb) FROM (SELECT verb, count(*) AS n FROM a GROUP BY 1)) AS verbs,
+  '201=' || count(*) FILTER (NOT denied) || ',403=' || count(*) FILTER (denied) AS codes FROM a""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about audit records: totals, and counts by verb and by status."""
+    rows = crossplane.audit_evidence(audit(spark, sf_dir)).select("actor", "action", "code")
+    fine = rows.groupBy("action", "code", "actor").agg(F.count("*").alias("n"))
+    said = lambda c: fine.groupBy(F.col(c).cast("string").alias("k")).agg(F.sum("n").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", F.col("n").cast("string")))), ","))
+    total = fine.agg(F.sum("n").alias("records"), F.count_distinct("actor").alias("actors"), F.sum(F.when(F.col("code") == 403, F.col("n")).otherwise(0)).alias("denials"))
+    # each is one row
+    return total.crossJoin(said("action").toDF("verbs")).crossJoin(said("code").toDF("codes"))

@@ -51,8 +51,13 @@ strict AS (
 )
 
 
+def _replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """replays, stored: a policy reads its observations for the sources, the flags and the rows."""
+    return stored(replays(spark, sf_dir), "observations")
+
+
 def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconstruct.strict(replays(spark, sf_dir), span_ms=SPAN)
+    return reconstruct.strict(_replays(spark, sf_dir), span_ms=SPAN)
 
 
 @query(f"WITH {STRICT} SELECT group_id, count(*) AS members, min(event_id) AS first_event, count(*) FILTER (abstained) AS abstained FROM strict GROUP BY group_id")
@@ -78,7 +83,7 @@ id_only AS (
 
 @query(f"WITH {ID_ONLY} SELECT * FROM id_only")
 def id_only_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconstruct.identifier_only(replays(spark, sf_dir), span_ms=SPAN)
+    return reconstruct.identifier_only(_replays(spark, sf_dir), span_ms=SPAN)
 
 
 TEMPORAL = (
@@ -109,7 +114,7 @@ SELECT w.event_id, 'temporal:' || service || ':' || lpad(episode::VARCHAR, 6, '0
 FROM walk w JOIN eps USING (service, episode)"""
 )
 def temporal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconstruct.temporal(replays(spark, sf_dir), window_ms=DAY, span_ms=SPAN)
+    return reconstruct.temporal(_replays(spark, sf_dir), window_ms=DAY, span_ms=SPAN)
 
 
 @query(f"WITH {REPLAYS} SELECT service, correlation_id, count(*) <> count(DISTINCT source_type) OR max(source_ms) - min(source_ms) > {SPAN} AS flagged FROM retained WHERE correlation_id IS NOT NULL GROUP BY ALL")
@@ -226,7 +231,7 @@ def hash_sample_10pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = obs(spark, sf_dir).where("correlation_id is not null")
+    df = stored(obs(spark, sf_dir).where("correlation_id is not null"), "observations")
     more = {"seed": F.lit(9238).cast("long"), "truth_chain_id": F.concat_ws(":", "service", "correlation_id"), "truth_source_ms": F.col("source_ms"), "canonical_event_id": F.col("event_id"), "observation_kind": F.lit("canonical")}
     return df.withColumns(more)
 
@@ -279,6 +284,32 @@ def fault_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.collisions(_chained(spark, sf_dir), 0.05, "fault", True).select("event_id", "correlation_id")
 
 
+CROSS = (
+    CHAINS
+    + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY {h}, truth_chain_id) AS r FROM chains),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT r, truth_chain_id, correlation_id, service AS held, 1::BIGINT AS waiting, 0::BIGINT AS run, 1::BIGINT AS pushed, 0::BIGINT AS popped, true AS pushes FROM ranked WHERE r = 1
+    UNION ALL
+    SELECT x.r, x.truth_chain_id, x.correlation_id, CASE WHEN w.waiting = 0 THEN x.service ELSE w.held END,
+      CASE WHEN w.waiting > 0 AND x.service <> w.held THEN w.waiting - 1 ELSE w.waiting + 1 END, CASE WHEN w.waiting = 0 THEN w.run + 1 ELSE w.run END,
+      CASE WHEN w.waiting = 0 THEN 1 WHEN x.service <> w.held THEN w.pushed ELSE w.pushed + 1 END, CASE WHEN w.waiting = 0 THEN 0 WHEN x.service <> w.held THEN w.popped + 1 ELSE w.popped END, w.waiting = 0 OR x.service = w.held
+    FROM w JOIN ranked x ON x.r = w.r + 1)
+  SELECT * FROM w),
+pairs AS (SELECT a.truth_chain_id AS donor, b.truth_chain_id AS victim, a.correlation_id AS given FROM walk a JOIN walk b ON a.run = b.run AND a.pushes AND NOT b.pushes AND a.pushed = b.popped)"""
+)
+
+
+@query(
+    f"""WITH {CROSS.format(h=_sha("'fault'", "truth_chain_id"))},
+hit AS (SELECT victim, given FROM (SELECT *, row_number() OVER (ORDER BY {_sha("'fault-pairs'", "donor || '::' || victim")}, donor || '::' || victim) AS k FROM pairs) WHERE k <= (SELECT round_even(count(*) * 0.05, 0) FROM chains))
+SELECT event_id, coalesce(given, correlation_id) AS correlation_id FROM chained LEFT JOIN hit ON victim = truth_chain_id"""
+)
+def fault_collision_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faults.collisions(_chained(spark, sf_dir), 0.05, "fault", False).select("event_id", "correlation_id")
+
+
 @query(
     f"""WITH {CHAINED}, hit AS {_picked('fault', 0.1)}
 SELECT event_id, source_ms + CASE WHEN event_id NOT IN (SELECT event_id FROM hit) THEN 0
@@ -322,12 +353,15 @@ def fault_missing_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHAINED}, lost AS {_picked('fault-missing', 0.1)}, slow AS {_picked('fault-late', 0.1)}
-SELECT event_id, CASE WHEN event_id NOT IN (SELECT event_id FROM lost) THEN correlation_id END AS correlation_id,
-  arrival_ms + CASE WHEN event_id IN (SELECT event_id FROM slow) THEN 30000 ELSE 0 END + {_fold(_sha(chr(39) + 'fault-jitter' + chr(39), 'event_id'), '3001')} AS arrival_ms FROM chained"""
+    f"""WITH {CHAINS}, lost AS {_picked('fault-missing', 0.1)}, slow AS {_picked('fault-late', 0.1)},
+r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY {_sha("'fault-collision'", "service", "truth_chain_id")}, truth_chain_id) - 1 AS r FROM chains),
+pairs AS (SELECT a.truth_chain_id AS donor, b.truth_chain_id AS victim, a.correlation_id AS given FROM r a JOIN r b ON a.service = b.service AND a.r % 2 = 0 AND b.r = a.r + 1),
+hit AS (SELECT victim, given FROM (SELECT *, row_number() OVER (ORDER BY {_sha("'fault-collision-pairs'", "donor || '::' || victim")}, donor || '::' || victim) AS k FROM pairs) WHERE k <= (SELECT round_even(count(*) * 0.05, 0) FROM chains))
+SELECT event_id, CASE WHEN event_id NOT IN (SELECT event_id FROM lost) THEN coalesce(given, correlation_id) END AS correlation_id,
+  arrival_ms + CASE WHEN event_id IN (SELECT event_id FROM slow) THEN 30000 ELSE 0 END + {_fold(_sha(chr(39) + 'fault-jitter' + chr(39), 'event_id'), '3001')} AS arrival_ms FROM chained LEFT JOIN hit ON victim = truth_chain_id"""
 )
 def fault_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = {"name": "fault", "kind": "compound", "collision": 0.0, "missing": 0.1, "late": 0.1, "late_ms": 30_000, "jitter_ms": 3000}
+    spec = {"name": "fault", "kind": "compound", "collision": 0.05, "missing": 0.1, "late": 0.1, "late_ms": 30_000, "jitter_ms": 3000}
     return faults.inject(_chained(spark, sf_dir), spec).select("event_id", "correlation_id", "arrival_ms")
 
 

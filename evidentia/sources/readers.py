@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,40 +28,67 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, member: str = "records") -> DataFrame:
-    """(path, position, record): records of files that hold one object, an array, a collection or JSON lines."""
+    """(path, position, record, error): records of files that hold one object, an array, a collection or JSON lines.
+
+    A file that can't be read to its end gives what came before, and one row with the reason.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def values(text: str) -> list:
+        def values(text: str) -> tuple[list, str | None]:
             decoder, at, out = json.JSONDecoder(), 0, []
             while at < len(text):
                 while at < len(text) and text[at].isspace():
                     at += 1
                 if at < len(text):
-                    value, at = decoder.raw_decode(text, at)
+                    try:
+                        value, at = decoder.raw_decode(text, at)
+                    except ValueError as e:
+                        return out, f"not JSON at character {getattr(e, 'pos', at)}"
                     out.append(value)
             if len(out) == 1 and isinstance(out[0], list):
-                return out[0]
+                return out[0], None
             if len(out) == 1 and isinstance(out[0], dict) and isinstance(out[0].get(member), list):
-                return out[0][member]
-            return out
+                return out[0][member], None
+            return out, None
 
         for b in batches:
-            rows = [(p, i, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for p, text in b.itertuples(index=False) for i, v in enumerate(values(text))]
-            yield pd.DataFrame(rows, columns=["path", "position", "record"])
+            rows = []
+            for p, text in b.itertuples(index=False):
+                found, error = values(text)
+                rows += [(p, i, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False), None) for i, v in enumerate(found)]
+                rows += [(p, len(found), None, error)] * (error is not None)
+            yield pd.DataFrame(rows, columns=["path", "position", "record", "error"])
 
     files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(parse, "path string, position long, record string")
+    return files.mapInPandas(parse, "path string, position long, record string, error string")
+
 
+def csv(spark: SparkSession, path: str, columns: list[str], ordered: bool = False, types: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a CSV file whose header has exactly these columns, in this order if ordered.
 
-def csv(spark: SparkSession, path: str, columns: list[str], ordered: bool = False) -> DataFrame:
-    """All-text rows of a CSV file whose header has exactly these columns, in this order if ordered."""
+    All are text but those with a type; error then names the columns whose text isn't of their type.
+    """
     found = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     names = found.columns
     if len(set(names)) != len(names):
         raise ContractError(f"repeated columns: {names}")
     if (names != columns) if ordered else (sorted(names) != sorted(columns)):
         raise ContractError(f"columns are {names}, not {columns}")
-    return found.select(*columns)
+    if not types:
+        return found.select(*columns)
+    bad = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), c) for c, t in types.items()])
+    return found.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in columns], F.nullif(bad, F.lit("")).alias("error"))
+
+
+def targets(spark: SparkSession, path: str, member: str = "targets") -> dict[str, str]:
+    """Pinned versions by name from a small JSON manifest; every one must be an exact version."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    held = found.get(member) if isinstance(found, dict) else None
+    if not isinstance(held, dict) or not held:
+        raise ContractError(f"no {member}")
+    if bad := sorted(k for k, v in held.items() if not isinstance(v, str) or not re.fullmatch(r"v?[0-9]+\.[0-9]+\.[0-9]+", v)):
+        raise ContractError(f"not pinned: {bad}")
+    return held
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +99,32 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("digest") == "", "malformed").when(unsafe, "unsafe path"))
 
 
+_TAGS = {"stringValue": str, "intValue": int, "doubleValue": float, "boolValue": bool, "bytesValue": str}
+
+
+def _plain(value):
+    """A tagged log value without its tags, at any depth."""
+    if not isinstance(value, dict):
+        return value
+    for tag in _TAGS.keys() & value.keys():
+        held = value[tag]
+        return _TAGS[tag](held) if tag == "intValue" else held
+    if "arrayValue" in value:
+        return [_plain(v) for v in (value["arrayValue"] or {}).get("values", [])]
+    if "kvlistValue" in value:
+        return {e.get("key"): _plain(e.get("value")) for e in (value["kvlistValue"] or {}).get("values", [])}
+    return None
+
+
 def any_value(v: Column) -> Column:
-    """The text of a tagged log value, whichever its tag; nested ones stay JSON."""
-    tags = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue")
-    flat = [F.get_json_object(v, f"$.{t}") for t in tags]
-    return F.coalesce(*flat, F.get_json_object(v, "$.kvlistValue.values"), F.get_json_object(v, "$.arrayValue.values"))
+    """The text of a tagged log value, whichever its tag; lists and maps become plain JSON. Only those reach Python."""
+
+    @F.pandas_udf("string")
+    def nested(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else json.dumps(_plain(json.loads(x)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+    flat = F.coalesce(*[F.get_json_object(v, f"$.{t}") for t in _TAGS])
+    return F.coalesce(flat, nested(F.when(flat.isNull(), v)))
 
 
 LOG_EXPORT = "resourceLogs array<struct<scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,body:string>>>>>>"

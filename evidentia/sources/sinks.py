@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,39 @@ def checksums(spark: SparkSession, folder: str, path: str) -> None:
     """A manifest of a folder's files: digest, two blanks, path below the folder; by path."""
     rows = inventory(spark, folder).orderBy("path")
     rows.select(F.concat_ws("  ", "digest", "path").alias("value")).coalesce(1).write.text(path)
+
+
+def raw_json(df: DataFrame, path: str, raw: str = "raw") -> None:
+    """Source records as they came, each with its digest, appended."""
+    df.select(F.col(raw).alias("raw"), F.sha2(raw, 256).alias("digest")).write.mode("append").parquet(path)
+
+
+def report(df: DataFrame, path: str) -> None:
+    """One row as one canonical JSON text in a folder that must not exist."""
+    if df.limit(2).count() != 1:
+        raise ContractError("a report is one row")
+    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+
+
+def bundle(spark: SparkSession, parts: dict[str, DataFrame], path: str, check=None) -> None:
+    """Tables below one folder that appears whole or not at all: written beside it, checked, listed in a manifest, then renamed.
+
+    check gets the parts as they were read back and raises if they won't do.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ContractError(f"{path} is there already")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        for name, df in parts.items():
+            df.write.parquet(f"{staged}/{name}")
+        if check:
+            check({name: spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in parts.items()})
+        checksums(spark, staged, f"{staged}/manifest")
+        if fs.exists(target) or not fs.rename(at, target):
+            raise ContractError(f"{path} is there already")
+    finally:
+        if fs.exists(at):
+            fs.delete(at, True)

@@ -105,3 +105,15 @@ def windowed(stream: DataFrame, time: str, late: str, width: str, slide: str | N
 def fresh(df: DataFrame, observed: str, received: str, age: str = "INTERVAL 300 SECONDS", skew: str = "INTERVAL 30 SECONDS") -> DataFrame:
     """Rows observed no longer than age before their receipt, and no later than skew after it."""
     return df.where(F.col(observed).between(F.col(received) - F.expr(age), F.col(received) + F.expr(skew)))
+
+
+def sessions(stream: DataFrame, time: str, late: str, gap: str) -> DataFrame:
+    """Counts of a service's sessions, which end after a gap; rows later than the watermark are left out, which the caller chose."""
+    win = F.session_window(time, gap)
+    return stream.withWatermark(time, late).groupBy("service", win.alias("w")).agg(F.count("*").alias("n")).select("service", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def collected(stream: DataFrame, path: str, checkpoint: str, every: str | None = "100 milliseconds"):
+    """A running query that appends a stream to Parquet files in small batches; without an interval it takes what is there and stops."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

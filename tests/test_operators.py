@@ -86,8 +86,8 @@ def test_privacy(spark):
     assert [r.p for r in df.select(privacy.allowed_json(F.col("raw"), rule).alias("p")).collect()] == ['{"a":"1"}', "{}"]
     assert {(r.path, r.reason, r.dropped) for r in privacy.drops(df, "raw", rule).collect()} == {("b", "invalid_value", 1), ("*", "not_allowlisted", 1)}
     deep = spark.createDataFrame([(1, '{"x":[{"token":"t","data":1,"y":"Bearer abc"}]}'), (2, "no")], "id long, raw string")
-    assert [r.redacted for r in privacy.redacted_json(deep, "raw").orderBy("id").collect()] == ['{"x":[{"token":"[redacted]","y":"[redacted]"}]}', None]
-    assert {r.path for r in privacy.unsafe_paths(deep, "raw", ("id",)).collect()} == {".x[0].token", ".x[0].data", ".x[0].y"}
+    assert [r.redacted for r in privacy.redacted_json(deep, "raw").orderBy("id").collect()] == ['{"x":[{"data":1,"token":"<redacted-sensitive-value>","y":"Bearer abc"}]}', None]
+    assert {r.path for r in privacy.unsafe_paths(deep, "raw", ("id",)).collect()} == {".x[0].token", ".x[0].y"}
 
 
 def test_readers(spark, tmp_path):
@@ -235,3 +235,83 @@ def test_pairs_across_services(spark):
         want.add((donor[0], other[0][0]))
         free = [c for c in free if c not in (donor, other[0])]
     assert {(r.donor, r.victim) for r in faults._pairs_cross(df, "x").collect()} == want
+
+
+def test_readers_tell_what_is_wrong(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.json").write_text('{"x":1} {"x":')
+    (tmp_path / "r/b.json").write_text('[{"y":2}]')
+    got = sorted(((r.record or ""), bool(r.error)) for r in readers.json_records(spark, str(tmp_path / "r")).collect())
+    assert got == [("", True), ('{"x":1}', False), ('{"y":2}', False)]
+    (tmp_path / "c.csv").write_text("a,n\nx,1\ny,1.5z\n")
+    assert [(r.n, r.error) for r in readers.csv(spark, str(tmp_path / "c.csv"), ["a", "n"], types={"n": "int"}).orderBy("a").collect()] == [(1, None), (None, "n")]
+    (tmp_path / "t.json").write_text('{"targets":{"a":"v1.2.3"}}')
+    assert readers.targets(spark, str(tmp_path / "t.json")) == {"a": "v1.2.3"}
+    (tmp_path / "u.json").write_text('{"targets":{"a":"latest"}}')
+    with pytest.raises(readers.ContractError):
+        readers.targets(spark, str(tmp_path / "u.json"))
+    nested = {"kvlistValue": {"values": [{"key": "b", "value": {"arrayValue": {"values": [{"intValue": "5"}, {"stringValue": "x"}]}}}, {"key": "a", "value": {"boolValue": True}}]}}
+    df = spark.createDataFrame([(json.dumps(nested),), ('{"intValue":"7"}',), ("{}",)], "v string")
+    assert [r.x for r in df.select(readers.any_value(F.col("v")).alias("x")).collect()] == ['{"a":true,"b":[5,"x"]}', "7", "null"]
+    (tmp_path / "log").write_text("j\ts\tversion 1.2\nj\tt\tversion 9\nshort\n")
+    assert [r.found for r in readers.marked_lines(spark, str(tmp_path / "log"), "j", "s", "[0-9.]+").collect()] == ["1.2"]
+
+
+def test_bundles_appear_whole_or_not_at_all(spark, tmp_path):
+    df = spark.range(3)
+    sinks.bundle(spark, {"a": df, "b": df}, str(tmp_path / "out"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and readers.manifest(spark, str(tmp_path / "out/manifest")).count() > 2
+    with pytest.raises(readers.ContractError):
+        sinks.bundle(spark, {"a": df}, str(tmp_path / "out"))
+
+    def refuse(parts):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        sinks.bundle(spark, {"a": df}, str(tmp_path / "other"), refuse)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    sinks.report(spark.range(1).toDF("x"), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first()[0] == '{"x":0}'
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.report(spark.range(1), str(tmp_path / "report"))
+    with pytest.raises(readers.ContractError):
+        sinks.csv(df.limit(0), str(tmp_path / "c"))
+    sinks.raw_json(spark.createDataFrame([("{}",)], "raw string"), str(tmp_path / "raw"))
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == 1
+
+
+def test_layout_trials(spark, tmp_path):
+    df = normalize.unified(synthetic.fragmented(synthetic.planes(spark, 300, 20, 9137)))
+    for layout in ("plain", "sorted"):
+        verify.write_layout(df, str(tmp_path / layout), layout, files=2)
+    got = verify.trial(spark, str(tmp_path), ("plain", "sorted"), {"service": "service = 'svc-0001'"}, warm=1)
+    assert all(r["equal"] and r["pushed"] and r["rows"] > 0 for r in got)
+    stats = verify.layout_stats(spark, str(tmp_path / "sorted")).first()
+    assert stats.files == 2 and stats.bytes >= stats.largest > 0
+    assert verify.constraint_errors(df, [["source_type", "source_id"]], ("service",), {"ts": "source_ts <> ''"}).isEmpty()
+    with pytest.raises(readers.ContractError):
+        links.seed(df.withColumn("source_id", F.col("source_id").cast("string")), "deployment", "none")
+
+
+def test_extraction_needs_its_controls(spark):
+    from evidentia.operators import extraction
+
+    meta = lambda c: {"metadata": {"name": "d", "annotations": {"x.example/correlation-id": c}}}
+    base = {"auditID": "1", "stage": "ResponseComplete", "requestReceivedTimestamp": "2026-01-01T00:00:00Z", "stageTimestamp": "2026-01-01T00:00:00Z", "verb": "create", "user": {"username": "me"}, "objectRef": {"apiGroup": "apps", "resource": "deployments", "namespace": "n", "name": "d"}, "responseStatus": {"code": 201}}
+    good = base | {"requestObject": meta("c1")}
+    denied = base | {"auditID": "2", "responseStatus": {"code": 403}}
+    other = base | {"auditID": "3", "objectRef": base["objectRef"] | {"name": "plain"}}
+    ask = lambda rows: extraction.extracted(spark.createDataFrame([(json.dumps(r),) for r in rows], "raw string"), "raw", "x.example", "me", {"api_group": "apps", "resource": "deployments", "namespace": "n", "name": "d"}, "c1", "plain")
+    assert sorted((r.source_id[0], r.binding, r.correlation_id) for r in ask([good, denied, other]).collect()) == [("1", "source_native_object_annotation", "c1"), ("2", "adapter_explicit_exact_target", "c1"), ("3", "absent", "")]
+    for rows, names in (([good, denied], "negative"), ([good, other], "denials"), ([denied, other], "positive"), ([good, good, denied, other], "repeated")):
+        with pytest.raises(readers.ContractError, match=names):
+            ask(rows)
+
+
+def test_sessions_and_file_pipeline(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "2026-01-01 00:00:00"), ("s", "2026-01-01 00:00:05"), ("s", "2026-01-01 00:05:00"), ("s", "2026-01-01 09:00:00")], "service string, t string").withColumn("t", F.to_timestamp("t"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = live.collected(live.sessions(stream, "t", "1 minute", "1 minute"), str(tmp_path / "out"), str(tmp_path / "ck"), None)
+    q.awaitTermination(120)
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect())[-2:] == [1, 2]
