@@ -17,7 +17,7 @@ from evidentia.llm.shared import documents, small_batches, stored
 #: Near duplicates: shingles of five words, four fifths in common.
 WORDS, NUM, DEN = 5, 80, 100
 #: What tells rows apart in the near-duplicates stage.
-KEY = "__row"
+KEY, HASH = "__row", "__hash"
 #: Words whose ids a packing worker keeps: few, for workers of earlier stages still hold memory.
 CACHED = 200_000
 
@@ -41,16 +41,20 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     doc_id as largest; of rows equal in every column one stays. An empty table
     stays empty.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h"))
-    rows = docs.withColumn(KEY, row)
-    groups = jaccard_join.jaccard_components(spark, rows, key=KEY, words=WORDS, num=NUM, den=DEN)
-    stay = groups.where(F.col(KEY) == F.col("component_id")).groupBy(F.col(KEY).alias("__stay")).agg(F.count("*").alias("__n"))
-    kept = rows.join(stay, rows[KEY] == F.col("__stay"))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)) > 0
-    again = (F.col("__n") > 1) & words
-    # only rows that repeat in every column meet in one place
-    once = kept.where(again).select(*docs.columns).dropDuplicates()
-    return kept.where(~again).select(*docs.columns).unionByName(once)
+    rows = docs.withColumn(HASH, F.xxhash64(*docs.columns))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(HASH).alias("h"))
+    groups = jaccard_join.jaccard_components(spark, rows.withColumn(KEY, key), key=KEY, words=WORDS, num=NUM, den=DEN)
+    stay = groups.where(F.col(KEY) == F.col("component_id")).select(F.col(f"{KEY}.id").alias("__id"), F.col(f"{KEY}.h").alias("__h"), "n_shingles")
+    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows[HASH] == F.col("__h"))
+    kept = rows.join(stay.select("__id", "__h"), same, "left_semi").select(*docs.columns)
+    # only rows that repeat in every column need more: of such with words one stays
+    again = stay.where("n_shingles > 0").groupBy("__id", "__h").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__h")
+    if again.isEmpty():
+        return kept
+    whole = kept.withColumn(HASH, F.xxhash64(*docs.columns))
+    same = whole["doc_id"].eqNullSafe(F.col("__id")) & (whole[HASH] == F.col("__h"))
+    once = whole.join(again, same, "left_semi").select(*docs.columns).dropDuplicates()
+    return whole.join(again, same, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
