@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import apart, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -158,18 +158,30 @@ def mix_sources(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
 def mixed(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of df as often as the mix takes them, with df's columns.
 
-    Rows that agree in key and size are interchangeable and numbered, so each gets its own count.
+    Rows that agree in key, source and size are interchangeable and numbered,
+    so each gets its own count. Of each source most rows are taken equally
+    often; a filter of fixed size tells which rows may differ, and only those
+    are joined with their counts, so the others' texts need no exchange.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    picks = mix_sources(spark, df, key, text, source).where("copies > 0").select(F.col(key).alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies")
-    by = picks.groupBy("__k", "__s", "__n").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.max("copies").alias("__most"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    picks = mix_sources(spark, df, key, text, source).select(F.col(key).alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies", F.floor(rate + 0.5).alias("usual"))
+    by = picks.groupBy("__k", "__s", "__n").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.max("copies").alias("__most"), F.min("usual").alias("__usual"))
     by, _ = stored(spark, by, "mix-picks")
-    kept = df.withColumns({"__n2": size})
-    same = kept[key].eqNullSafe(by["__k"]) & kept[source].cast("string").eqNullSafe(by["__s"]) & (kept["__n2"] == by["__n"])
-    if by.where("__rows > 1").isEmpty():
-        out = kept.join(by, same).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    usual, _ = stored(spark, by.groupBy(F.col("__s").alias("__of")).agg(F.min("__usual").alias("__each")), "mix-usual")
+    few = usual.count() < 10_000
+    odd = by.where(F.col("__copies") != F.col("__usual") * F.col("__rows")).drop("__usual")
+    named = F.col(source).cast("string")
+    rows = df.join(F.broadcast(usual) if few else usual, named.eqNullSafe(F.col("__of")), "left").select(*df.columns, "__each")
+    most, some = apart(rows, F.xxhash64(F.col(key), named), odd.select(F.xxhash64("__k", "__s").alias("h")))
+    some = some.withColumn("__n2", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    same = some[key].eqNullSafe(odd["__k"]) & some[source].cast("string").eqNullSafe(odd["__s"]) & (some["__n2"] == odd["__n"])
+    some = some.join(odd, same, "left")
+    if odd.where("__rows > 1").isEmpty():
+        own = F.coalesce("__copies", "__each")
     else:
         one = Window.partitionBy("__k", "__s", "__n").orderBy(F.xxhash64(text))
-        out = kept.join(by, same).withColumn("__r", F.row_number().over(one)).where((F.col("__r") - 1) * F.col("__most") < F.col("__copies"))
-        out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.col("__most").cast("long"), F.col("__copies") - (F.col("__r") - 1) * F.col("__most")).cast("int"))))
-    return out.select(*df.columns)
+        repeated = some.where("__rows > 1").withColumn("__r", F.row_number().over(one))
+        some = some.where("coalesce(__rows, 1) = 1").withColumn("__r", F.lit(1)).unionByName(repeated)
+        own = F.when(F.col("__rows") > 1, F.least(F.col("__most").cast("long"), F.col("__copies") - (F.col("__r") - 1) * F.col("__most"))).otherwise(F.coalesce("__copies", "__each"))
+    taken = most.withColumn("__own", F.col("__each")).select(*df.columns, "__own").unionByName(some.withColumn("__own", own).select(*df.columns, "__own"))
+    return taken.where("__own > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int")))).select(*df.columns)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Blocks of 64 bits that a filter of keys has: 131,072 rows to broadcast at most, whatever the number of keys.
+FILTER_BLOCKS = 1 << 17
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
@@ -52,6 +55,26 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _bits(h: Column) -> Column:
+    """Two bits of a block, by other bits of the hash than those that choose the block."""
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int"))
+    return bit(40).bitwiseOR(bit(50))
+
+
+def apart(df: DataFrame, on: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash surely isn't in keys (h), and all others: those that are and false hits.
+
+    A blocked Bloom filter of fixed size tells them, so rows of the first kind,
+    with their texts, need no exchange. An exact join must follow for the
+    others; beyond what the filter holds only their share rises.
+    """
+    place = lambda h: F.pmod(h, F.lit(FILTER_BLOCKS))
+    table = keys.select(place(F.col("h")).alias("__place"), _bits(F.col("h")).alias("__word")).groupBy("__place").agg(F.bit_or("__word").alias("__word"))
+    asked = df.withColumn("__asked", on).join(F.broadcast(table), place(F.col("__asked")) == F.col("__place"), "left")
+    hit = F.coalesce(F.col("__word").bitwiseAND(_bits(F.col("__asked"))) == _bits(F.col("__asked")), F.lit(False))
+    return asked.where(~hit).select(*df.columns), asked.where(hit).select(*df.columns)
+
+
 def whole_text(text: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from evidentia.llm import mixing
+from evidentia.llm import mixing, shared
+from pyspark.sql import functions as F
 
 
 def test_targets_share_weight_and_excess():
@@ -53,3 +54,30 @@ def test_odd_rows(spark, odd, none):
     assert mixed.columns == odd.columns
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
     assert mixing.mix_sources(spark, none).count() == 0 and mixing.mixed(spark, none).count() == 0
+
+
+def test_rows_are_taken_as_often_as_picked(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    copies = Counter()
+    for r in mixing.mix_sources(spark, docs).collect():
+        copies[r.doc_id, r.source] += r.copies
+    want = {k: n for k, n in copies.items() if n}
+    assert len(want) < len(copies) and len(set(want.values())) > 1
+    # also where the filter lets everything through
+    for blocks in (1 << 17, 1):
+        monkeypatch.setattr(shared, "FILTER_BLOCKS", blocks)
+        assert Counter((r.doc_id, r.source) for r in mixing.mixed(spark, docs).collect()) == want
+
+
+def test_filter_parts_rows(spark, monkeypatch):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    df = spark.range(3000).withColumn("h", F.lit("clash")).unionByName(spark.createDataFrame([(None, "x")], "id long, h string"))
+    for blocks in (1 << 17, 64, 1):
+        monkeypatch.setattr(shared, "FILTER_BLOCKS", blocks)
+        sure, others = ([r.id for r in x.collect()] for x in shared.apart(df, F.xxhash64("id"), keys))
+        assert Counter(sure + others) == Counter([*range(3000), None])
+        assert not any(i is not None and i % 3 == 0 for i in sure)
+        assert blocks == 1 or len(others) < 1000 + 2000 * (blocks == 64) + 20
+    sure, others = shared.apart(df, F.xxhash64("id"), keys.limit(0))
+    assert (sure.count(), others.count()) == (3001, 0)
