@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import jaccard_join, mixing, packing, toxicity
-from evidentia.llm.shared import documents, small_batches, stored
+from evidentia.llm.shared import apart, documents, small_batches, stored
 
 #: Near duplicates: shingles of five words, four fifths in common.
 WORDS, NUM, DEN = 5, 80, 100
@@ -44,11 +44,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows = docs.withColumn(HASH, F.xxhash64(*docs.columns))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(HASH).alias("h"))
     groups = jaccard_join.jaccard_components(spark, rows.withColumn(KEY, key), key=KEY, words=WORDS, num=NUM, den=DEN)
-    stay = groups.where(F.col(KEY) == F.col("component_id")).select(F.col(f"{KEY}.id").alias("__id"), F.col(f"{KEY}.h").alias("__h"), "n_shingles")
-    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows[HASH] == F.col("__h"))
-    kept = rows.join(stay.select("__id", "__h"), same, "left_semi").select(*docs.columns)
+    parts = groups.select(F.col(f"{KEY}.id").alias("__id"), F.col(f"{KEY}.h").alias("__h"), "n_shingles", F.col(KEY).eqNullSafe(F.col("component_id")).alias("first"))
+    gone = parts.where("not first").select("__id", "__h")
+    # few rows go: a filter of fixed size tells which may, and only the texts of those are joined
+    sure, others = apart(rows, F.xxhash64("doc_id", HASH), gone.select(F.xxhash64("__id", "__h").alias("h")))
+    same = others["doc_id"].eqNullSafe(F.col("__id")) & (others[HASH] == F.col("__h"))
+    kept = sure.unionByName(others.join(gone, same, "left_anti")).select(*docs.columns)
     # only rows that repeat in every column need more: of such with words one stays
-    again = stay.where("n_shingles > 0").groupBy("__id", "__h").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__h")
+    again = parts.where("first and n_shingles > 0").groupBy("__id", "__h").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__h")
     if again.isEmpty():
         return kept
     whole = kept.withColumn(HASH, F.xxhash64(*docs.columns))
