@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 import __spark_entry__
 import duckdb
 import pytest
+from evidentia.operators import delivery, publish, validate
 from pyspark.sql import functions as F
 
 
@@ -25,3 +28,28 @@ def test_a_full_queue_counts_events_and_not_their_repetitions(spark, tmp_path, n
     line.unionByName(again).write.parquet(str(tmp_path / "lineitem.parquet"))
     got, want = both(spark, "bounded_queue", tmp_path)
     assert got == want == [(20_000, 1_000)]
+
+
+@pytest.mark.parametrize("name", ["record_violations", "audit_profile_records", "public_audit", "delivery_snapshots"])
+def test_costly_records_are_dealt_over_the_cores(spark, small, name):
+    assert __spark_entry__.queries()[name](spark, small).rdd.getNumPartitions() >= 4
+
+
+def test_a_member_is_looked_at_once_however_many_rules_ask(monkeypatch, spark):
+    asked = []
+    monkeypatch.setattr(F, "schema_of_variant", lambda c, own=F.schema_of_variant: asked.append(c) or own(c))
+    df = spark.createDataFrame([("{}",)], "raw string")
+    validate.validated(df, "raw")
+    publish.published(df, "raw", publish.audit_spec("e.example"), publish.audit_extra("e.example"))
+    delivery.snapshot_errors(F.col("raw"))
+    assert len(asked) < 250
+
+
+def test_snapshot_rules_on_odd_snapshots(spark):
+    run = dict.fromkeys(delivery.FIELDS["run"]) | {"id": 5, "run_attempt": 1, "html_url": "https://a.b/c"}
+    job = dict.fromkeys(delivery.FIELDS["jobs"]) | {"id": 1, "run_id": 5}
+    good = {"artifacts": [], "jobs": [job], "projection": {"correlation_id": "d-7-5-1"}, "repository": {"id": 7}, "run": run}
+    cases = [(good, []), (good | {"x": 1}, ["fields"]), (good | {"jobs": [job | {"run_id": 6}]}, ["jobs: of another run"]), (good | {"jobs": None}, ["jobs: fields", "jobs: of another run", "jobs: URL"]), (good | {"run": run | {"created_at": "now"}}, ["run: created_at"]), (good | {"repository": {"id": 8}}, ["correlation_id"])]
+    df = spark.createDataFrame([(json.dumps(c),) for c, _ in cases] + [("{",)], "raw string")
+    got = {r.raw: r.e for r in df.select("raw", delivery.snapshot_errors(F.col("raw")).alias("e")).collect()}
+    assert got == {json.dumps(c): e for c, e in cases} | {"{": ["not JSON"]}
