@@ -73,9 +73,13 @@ def license_scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, ke
     lines = F.split(normalised(F.coalesce(F.col(text), F.lit(""))), "\n")
     # distinct bigrams number at most the words, and at least the distinct words less one,
     # so units of other sizes fall out before their bigrams are made
-    long_enough = lambda w: (F.size(w) >= F.lit(min(sizes) * low)) & (F.size(F.array_distinct(w)) - 1 <= F.lit(max(sizes) * high))
-    units = F.filter(F.transform(F.concat(lines, F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))), _words), long_enough)
-    rows = df.select(F.col(key).alias("key"), F.transform(units, bigrams).alias("units"))
+    # (few words have few distinct ones, and where the first words are too many kinds all are)
+    most = F.lit(max(sizes) * high)
+    few = lambda w: F.size(F.array_distinct(w)) - 1 <= most
+    fits = lambda w: (F.size(w) >= F.lit(min(sizes) * low)) & ((F.size(w) - 1 <= most) | (few(F.slice(w, 1, 2 * math.ceil(max(sizes) * high))) & few(w)))
+    rows = df.select(F.col(key).alias("key"), F.transform(lines, _words).alias("lines"))
+    whole = F.when(F.size("lines") > 1, F.array(F.flatten("lines"))).otherwise(F.array().cast("array<array<string>>"))
+    rows = rows.select("key", F.transform(F.filter(F.concat("lines", whole), fits), bigrams).alias("units"))
     near = lambda a, b: (F.size(a) >= F.size(b) * low) & (F.size(a) <= F.size(b) * high)
     dice = lambda a, b: F.size(F.array_intersect(a, b)) * 2.0 / (F.size(a) + F.size(b))
     best = lambda u: F.array_min(F.transform(F.filter(F.col("known"), lambda t: near(u, t["grams"])), lambda t: F.struct((-dice(u, t["grams"])).alias("less"), t["name"].alias("name"))))
