@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evidentia.llm import jaccard_join as jj
-from evidentia.llm import licenses
+from evidentia.llm import licenses, suffix_tree
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def test_licenses_cut_the_words_of_a_text_once(spark):
     got = {r.doc_id: (r.best_license, round(r.best_dice, 6), r.n_units) for r in out.collect()}
     assert got == {0: ("MIT", round(8 / 9, 6), 1), 1: ("MIT", round(8 / 9, 6), 1), 2: ("MIT", 1.0, 1), 3: (None, 0.0, 0)}
     assert "array_join" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_one_rule_chooses_the_n_grams_at_every_size():
+    """No size has a rule of its own: the count rises throughout, and so does the number of n-grams it allows."""
+    tokens = [10**e for e in range(3, 13)]
+    counts = [suffix_tree.least(t) for t in tokens]
+    assert counts == sorted(set(counts))
+    assert [t / n for t, n in zip(tokens, counts, strict=True)] == sorted(t / n for t, n in zip(tokens, counts, strict=True))
